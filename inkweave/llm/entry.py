@@ -6,18 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import bpe
+from inkweave.llm import bpe, exact, licences, lm, minhash
 from inkweave.llm.common import table
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components on 3-word shingles at similarity 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, rows=4, bands=20)
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target is every document labelled good and not toxic."""
+    return lm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0"))
+
+
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence statements of every document."""
+    return licences.licences(table(spark, sf_dir, "documents"))
+
+
+def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents."""
+    return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the encoded and decoded text of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_bpe": op9_bpe}
+    return {"op4_minhash": op4_minhash, "op5_lm": op5_lm, "op7_licences": op7_licences, "op8_exact": op8_exact, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_exact": exact.ORACLE_SQL}
