@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import bpe, exact, licences, lm, minhash
+from inkweave.llm import bpe, exact, licences, lines, lm, minhash, rules
 from inkweave.llm.common import table
 
 
+def op1_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document and the verdict of the learned list."""
+    return rules.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document without repeated runs of lines."""
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components on 3-word shingles at similarity 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, rows=4, bands=20)
@@ -36,8 +46,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_minhash": op4_minhash, "op5_lm": op5_lm, "op7_licences": op7_licences, "op8_exact": op8_exact, "op9_bpe": op9_bpe}
+    return {"op1_rules": op1_rules, "op2_lines": op2_lines, "op4_minhash": op4_minhash, "op5_lm": op5_lm, "op7_licences": op7_licences, "op8_exact": op8_exact, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact": exact.ORACLE_SQL}
+    return {"op2_lines": lines.ORACLE_SQL, "op8_exact": exact.ORACLE_SQL}

@@ -102,7 +102,8 @@ def exact_groups(docs: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFrame
     prints = settle(fingerprints(docs, primes).withColumn("_row", F.monotonically_increasing_id()))
     key = ["n_bytes", "fingerprint"]
     groups = prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    members = prints.join(groups, key, "left_semi").groupBy("_id", "_seg", *key).agg(F.lit(0).alias("one")).drop("one")
+    # Grouped by the row alone, so that the join before may split a large group.
+    members = prints.join(groups, key, "left_semi").groupBy("_id", "_seg").agg(*(F.min(c).alias(c) for c in key))
     left = settle(_chunks(docs.join(members, ["_id", "_seg"])))
     classes, number = None, 0
     while True:
