@@ -90,17 +90,17 @@ def learn(train: DataFrame, features: list[str], most_rules: int = 8, most_condi
 
     Two thirds of the rows (by a hash of the id) grow rules, the others prune them.
     """
-    spots = train.groupBy("bad").agg(*(F.percentile_approx(f, [i / CUTS for i in range(CUTS)], 1000).alias(f) for f in features)).collect()
-    cuts = {f: sorted({float(x) for r in spots for x in r[f] or []}) for f in features}
-    bin_of = lambda f: F.size(F.filter(F.array(*(F.lit(c) for c in cuts[f])), lambda c: c <= F.col(f))) if cuts[f] else F.lit(0)
-    binned = train.select("bad", *features, (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("prune"), *(bin_of(f).alias(f"b_{f}") for f in features))
-    train = settle(binned.filter(reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in features))))
+    train = train.filter(reduce(lambda a, b: a & b, (F.col(f).isNotNull() for f in features))).withColumn("prune", F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
     rules: list[Rule] = []
     free = F.lit(True)
     while len(rules) < most_rules:
+        # Thresholds are quantiles of what is left, so that each rule sees its own documents finely.
+        spots = train.filter(free).groupBy("bad").agg(*(F.percentile_approx(f, [i / CUTS for i in range(CUTS)], 1000).alias(f) for f in features)).collect()
+        cuts = {f: sorted({float(x) for r in spots for x in r[f] or []}) for f in features}
+        bin_of = lambda f: F.size(F.filter(F.array(*(F.lit(c) for c in cuts[f])), lambda c: c <= F.col(f))) if cuts[f] else F.lit(0)  # noqa: B023, E731
         rule: Rule = []
         while len(rule) < most_conditions:
-            rows = train.filter(~F.col("prune") & free & holds(rule)).select("bad", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b")) for f in features))).alias("e"))
+            rows = train.filter(~F.col("prune") & free & holds(rule)).select("bad", F.explode(F.array(*(F.struct(F.lit(f).alias("f"), bin_of(f).alias("b")) for f in features))).alias("e"))
             got = rows.groupBy("e.f", "e.b").agg(F.count_if("bad").alias("p"), F.count_if(~F.col("bad")).alias("n")).collect()
             p0, n0 = (sum(r[c] for r in got if r["f"] == features[0]) for c in ("p", "n"))
             if p0 < least or not n0:
