@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import bpe, exact, licences, lines, lm, minhash, rules
+from inkweave.llm import bpe, exact, licences, lines, lm, minhash, rules, suffix
 from inkweave.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte windows that start in an earlier one."""
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence statements of every document."""
     return licences.licences(table(spark, sf_dir, "documents"))
@@ -46,7 +51,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rules": op1_rules, "op2_lines": op2_lines, "op4_minhash": op4_minhash, "op5_lm": op5_lm, "op7_licences": op7_licences, "op8_exact": op8_exact, "op9_bpe": op9_bpe}
+    return {"op1_rules": op1_rules, "op2_lines": op2_lines, "op4_minhash": op4_minhash, "op5_lm": op5_lm, "op6_suffix": op6_suffix, "op7_licences": op7_licences, "op8_exact": op8_exact, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
