@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import bpe, exact, licences, lines, lm, minhash, rules, suffix
+from inkweave.llm import bpe, exact, html, licences, lines, lm, minhash, mixing, rules, suffix
 from inkweave.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components on 3-word shingles at similarity 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85, rows=4, bands=20)
@@ -50,8 +55,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_rules": op1_rules, "op2_lines": op2_lines, "op4_minhash": op4_minhash, "op5_lm": op5_lm, "op6_suffix": op6_suffix, "op7_licences": op7_licences, "op8_exact": op8_exact, "op9_bpe": op9_bpe}
+    ops = (op1_rules, op2_lines, op3_mixing, op4_minhash, op5_lm, op6_suffix, op7_licences, op8_exact, op9_bpe, op10_html, pipeline)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
