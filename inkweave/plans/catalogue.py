@@ -79,14 +79,14 @@ def list_active(g):
     return G.newest(G.list_active(g.docs, g.edge), 50).select("path", "title", "status", "doc_type", "last_modified")
 
 
-@query(f"WITH {EFF} SELECT path, last_modified FROM eff WHERE status = 'active' AND path ILIKE '%A/%' ORDER BY last_modified DESC, path LIMIT 50")
+@query(f"WITH {EFF} SELECT path, last_modified FROM eff WHERE status = 'active' AND path ILIKE 'NATION_1%/%' ORDER BY last_modified DESC, path LIMIT 50")
 def list_active_scope(g):
-    return G.newest(G.list_active(g.docs, g.edge, scope="%A/"), 50).select("path", "last_modified")
+    return G.newest(G.list_active(g.docs, g.edge, scope="NATION_1%/"), 50).select("path", "last_modified")
 
 
-@query(f"WITH {EFF} SELECT path, last_modified FROM eff WHERE status = 'active' AND path IN (SELECT source_id FROM edge WHERE edge_type = 'MEMBER_OF_PROJECT' AND target_id = 'c7') ORDER BY last_modified DESC, path LIMIT 50")
+@query(f"WITH {EFF} SELECT path, last_modified FROM eff WHERE status = 'active' AND path IN (SELECT source_id FROM edge WHERE edge_type = 'MEMBER_OF_PROJECT' AND target_id = 'c4') ORDER BY last_modified DESC, path LIMIT 50")
 def list_active_project(g):
-    return G.newest(G.list_active(g.docs, g.edge, project="c7"), 50).select("path", "last_modified")
+    return G.newest(G.list_active(g.docs, g.edge, project="c4"), 50).select("path", "last_modified")
 
 
 @query(f"WITH {EFF} SELECT count(*) AS n FROM eff WHERE status = 'active'")
