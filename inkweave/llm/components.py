@@ -11,13 +11,13 @@ from inkweave.llm.common import settle
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node joins its larger neighbours to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
-    least = both.groupBy(F.col("high").alias("low")).agg(F.min("low").alias("m")).select("low", F.least("low", "m").alias("m"))
+    least = settle(both.groupBy(F.col("high").alias("low")).agg(F.min("low").alias("m")).select("low", F.least("low", "m").alias("m")))
     return edges.join(least, "low").select("high", F.col("m").alias("low")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node joins itself and its smaller neighbours to the least of those."""
-    least = edges.groupBy("high").agg(F.min("low").alias("m"))
+    least = settle(edges.groupBy("high").agg(F.min("low").alias("m")))
     moved = edges.join(least, "high").filter("low <> m").select(F.col("low").alias("high"), F.col("m").alias("low"))
     return moved.unionByName(least.select("high", F.col("m").alias("low"))).distinct()
 
@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node reachable, for every node of an edge.
 
     Rounds go on until the edges stay as they are, which takes about the logarithm of the longest chain; each round is
-    written to the shared folder.  Null ends and loops are ignored.
+    written to the shared folder, the grouped minima too, so that the joins may split a node with many edges.  Null ends and loops are ignored.
     """
     now = settle(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct())
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)"))).first())

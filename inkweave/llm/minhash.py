@@ -4,14 +4,18 @@
    of hashes with partial aggregation, and only the class's smallest id goes on: copies are never expanded.
 2. The set's minima under ``hashes`` multiply-shift functions form its signature; bands of ``rows`` minima are keys.
 3. Every id of a key is compared with the key's smallest id only.  A pair whose signatures agree far too little for the
-   threshold is dropped (the chance to drop a true pair is below 1e-9); the others are confirmed on full sets.
-4. Components of the confirmed links.  Keys that still hold several components have all pairs across components examined,
-   the ids outside the key's largest component against the others; no pair inside a component is ever emitted.
-   So every two texts that share a key end up compared or connected.
-5. Components of all confirmed links.
+   threshold is dropped (the chance to drop a true pair is about 1e-8); the others are confirmed on full sets.
+4. Components of the confirmed links.  In keys that still hold several components, the ids outside the key's largest
+   component are compared with one of its members, another one in each of ``rounds`` rounds.
+5. Ids that open keys still chain together form a family.  In each family the ids outside its largest component are
+   compared with all others on full sets, in tiles of ``TILE`` by ``TILE``: a tile multiplies membership matrices and
+   returns only a spanning star of each group that it finds linked, so no list of pairs is ever made.  Every two texts
+   that share a key thus end up compared or connected.
+6. Components of all confirmed links.
 
 Defined results: texts without words have an empty set and are linked with nothing; a null doc_id cannot be linked: its
-component_id is null and the row is kept; rows that repeat a doc_id are one node; an empty table gives an empty result.
+component_id is null and the row is kept; rows that repeat a doc_id are
+linked by their own texts under that id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +30,9 @@ from pyspark.sql import functions as F
 from inkweave.llm.common import mix, octets, pieces, settle, words
 from inkweave.llm.components import components
 
+#: Texts on each side of a tile.
+TILE = 256
+
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text, sorted, and their offsets."""
@@ -73,8 +80,8 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _sketch(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
-    functions = functions_of(rows * bands)
+def _sketch(docs: DataFrame, k: int, rows: int, bands: int, hashes: int) -> DataFrame:
+    functions = functions_of(hashes)
 
     def run(batches):
         for b in batches:
@@ -88,22 +95,15 @@ def _sketch(docs: DataFrame, k: int, rows: int, bands: int) -> DataFrame:
                 other = np.concatenate([[np.uint64(0)], np.cumsum(mix(s + np.uint64(1)))])
                 key = np.full((len(sig), bands), 0x452821E638D01377, np.uint64) + np.arange(bands, dtype=np.uint64)
                 for r in range(rows):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r::rows].astype(np.uint64))
-                low = np.packbits((sig[:, :64] & 1).astype(np.uint8), axis=1)
-                bits = np.zeros((len(sig), 8), np.uint8)
-                bits[:, : low.shape[1]] = low
-                empty = ~some
-                at_some = np.cumsum(some) - some
-                keys = pa.ListArray.from_arrays(pa.array((np.concatenate([at_some, [len(sig)]]) * bands).astype(np.int32)), pa.array(key.reshape(-1).view(np.int64)))
-                blobs, flat = [None] * len(n), sig.tobytes()
-                width = 4 * rows * bands
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : rows * bands : rows].astype(np.uint64))
+                at_some = np.concatenate([[0], np.cumsum(some)]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(at_some * bands), pa.array(key.reshape(-1).view(np.int64)))
+                blobs, flat = [None] * len(n), (sig >> np.uint32(8)).astype(np.uint8).tobytes()
                 for x, y in zip(np.flatnonzero(some), range(len(sig)), strict=True):
-                    blobs[x] = flat[y * width : (y + 1) * width]
-                bits64 = np.zeros(len(n), np.int64)
-                bits64[some] = np.ascontiguousarray(bits).view(np.int64)[:, 0]
-                yield _batch({"doc_id": b.column("doc_id").slice(i, j - i), "n": pa.array(n, pa.int64()), "fa": pa.array((total[o[1:]] - total[o[:-1]]).view(np.int64)), "fb": pa.array((other[o[1:]] - other[o[:-1]]).view(np.int64)), "bits": pa.array(bits64, mask=empty), "keys": keys, "sig": pa.array(blobs, pa.binary())})
+                    blobs[x] = flat[y * hashes : (y + 1) * hashes]
+                yield _batch({"doc_id": b.column("doc_id").slice(i, j - i), "n": pa.array(n, pa.int64()), "fa": pa.array((total[o[1:]] - total[o[:-1]]).view(np.int64)), "fb": pa.array((other[o[1:]] - other[o[:-1]]).view(np.int64)), "keys": keys, "sig": pa.array(blobs, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fa long, fb long, bits long, keys array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fa long, fb long, keys array<long>, sig binary")
 
 
 def _alike(pairs: DataFrame, sketches: DataFrame, hashes: int, least: int) -> DataFrame:
@@ -112,7 +112,7 @@ def _alike(pairs: DataFrame, sketches: DataFrame, hashes: int, least: int) -> Da
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), hashes) for c in ("sig_a", "sig_b"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), hashes) for c in ("sig_a", "sig_b"))
             good = pa.array((x == y).sum(axis=1) >= least)
             yield _batch({c: b.column(c).filter(good) for c in ("a", "b")})
 
@@ -137,25 +137,85 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 28) -> DataFrame:
+def linked_stars(x: list[np.ndarray], y: list[np.ndarray], apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Spanning stars of the links between sets x and sets y; places of y count on from len(x).  apart: pairs to look at."""
+    n = np.array([len(s) for s in (*x, *y)])
+    owner = np.repeat(np.arange(len(n)), n)
+    _, column, often = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    several = often > 1
+    number = np.cumsum(several) - 1
+    use = several[column]
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(x), len(y)), np.float32)
+    for first in range(0, int(several.sum()), 4096):
+        low, high = np.searchsorted(column, [first, first + 4096])
+        m = np.zeros((len(n), 4096), np.float32)
+        m[owner[low:high], column[low:high] - first] = 1
+        common += m[: len(x)] @ m[len(x) :].T
+    union = n[: len(x), None] + n[None, len(x) :] - common
+    link = apart & (100 * common >= percent * union)
+    out: list[tuple[int, int]] = []
+    left, right = np.ones(len(x), bool), np.ones(len(y), bool)
+    for i in np.flatnonzero(link.any(axis=1)):
+        if not left[i]:
+            continue
+        left[i] = False
+        front = np.array([i])
+        while len(front):
+            found = np.flatnonzero(link[front].any(axis=0) & right)
+            right[found] = False
+            front = np.flatnonzero(link[:, found].any(axis=1) & left)
+            left[front] = False
+            out += [(i, len(x) + j) for j in found] + [(i, j) for j in front]
+    return out
+
+
+def _in_tiles(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: enough of the links across components inside each family of ids that open keys (key, node, component) chain."""
+    ends = settle(keys.groupBy("key").agg(F.min("node").alias("a")))
+    families = components(keys.join(ends, "key").select("a", F.col("node").alias("b"))).select("node", F.col("component").alias("family"))
+    placed = settle(families.join(keys.select("node", "component").distinct(), "node"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("size")).groupBy("family").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all")).filter("all > m.size")
+    sizes = settle(sizes.select("family", F.col("m.component").alias("main"), F.ceil(F.col("all") / TILE).alias("tiles"), F.ceil((F.col("all") - F.col("m.size")) / TILE).alias("outer_tiles")))
+    full = placed.join(sizes, "family").join(sets.dropDuplicates(["node"]), "node")
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    fields = ("node", "component", "main", "members")
+    member = full.select("family", spot("tiles").alias("t"), every("outer_tiles").alias("o"), *fields)
+    outer = full.filter("component <> main").select("family", every("tiles").alias("t"), spot("outer_tiles").alias("o"), *fields).toDF("family", "t", "o", *fields)  # fresh columns: both sides come from one frame
+
+    def run(outers: pa.Table, members: pa.Table) -> pa.Table:
+        x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("members")] for t in (outers, members))
+        pairs = []
+        if x and y:
+            (xn, xc, _), (yn, yc, main) = (tuple(t.column(c).to_numpy() for c in ("node", "component", "main")) for t in (outers, members))
+            apart = (xc[:, None] != yc[None, :]) & ((yc == main)[None, :] | (xn[:, None] > yn[None, :]))
+            nodes = np.concatenate([xn, yn])
+            pairs = [(nodes[i], nodes[j]) for i, j in linked_stars(x, y, apart, percent)]
+        return pa.table({c: pa.array([p[k] for p in pairs], pa.int64()) for k, c in enumerate(("a", "b"))})
+
+    tile = ("family", "t", "o")
+    return outer.groupBy(*tile).cogroup(member.groupBy(*tile)).applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 28, hashes: int = 256, rounds: int = 1) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
     At 4 rows, 28 bands find a pair at similarity 0.8 but for a chance of 4e-7, and 20 bands one at 0.85.
     """
-    hashes = rows * bands
     p = percent / 100
-    least = math.floor(p * hashes - 6.5 * math.sqrt(p * (1 - p) * hashes))
-    q = (1 - p) / 2
-    most_bits = math.ceil(q * 64 + 6.5 * math.sqrt(q * (1 - q) * 64))
-    sketches = settle(_sketch(docs, k, rows, bands))
+    least = math.floor(p * hashes - 5.5 * math.sqrt(p * (1 - p) * hashes))
+    sketches = settle(_sketch(docs, k, rows, bands, hashes))
     linked = sketches.filter("doc_id is not null and n > 0")
-    classes = linked.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("node"))
-    nodes = settle(linked.join(classes, ["n", "fa", "fb"]).filter("doc_id = node").dropDuplicates(["node", "fa", "fb"]).select("node", "n", "bits", "keys", "sig"))
+    # Grouped minima are written before they are joined, so that a join may split the rows of a large group.
+    classes = settle(linked.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("node")))
+    nodes = settle(linked.join(classes, ["n", "fa", "fb"]).filter("doc_id = node").dropDuplicates(["node", "fa", "fb"]).select("node", "n", "keys", "sig"))
     by_key = nodes.select("node", F.explode("keys").alias("key"))
-    centers = by_key.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1")
-    shared = settle(by_key.join(centers.select("key", "a"), "key"))
+    centers = settle(by_key.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1").select("key", "a"))
+    shared = settle(by_key.join(centers, "key"))
     members = shared.select("node").distinct()
-    wanted = members.join(linked.select(F.col("doc_id").alias("node")).distinct(), "node", "left_semi")
 
     def full_sets(batches):
         for b in batches:
@@ -164,18 +224,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
                 s, o = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], k)
                 yield _batch({"node": b.column("node").slice(i, j - i), "members": pa.array([s[o[x] : o[x + 1]].tobytes() for x in range(j - i)], pa.binary())})
 
-    sets = settle(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(wanted, "node").mapInArrow(full_sets, "node long, members binary"))
-    pairs = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    first = settle(_confirmed(_alike(pairs, nodes, hashes, least), sets, percent))
-    found = settle(components(first))
-    placed = shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    main = placed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("key", "main")
-    open_keys = settle(placed.join(main, "key").join(nodes.select("node", "n", "bits"), "node"))
-    x, y = open_keys.alias("x"), open_keys.filter("component <> main").alias("y")
-    across = x.join(y, F.expr(f"x.key = y.key and x.component <> y.component and (x.component = x.main or x.node < y.node) and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and bit_count(x.bits ^ y.bits) <= {most_bits}"))
-    more = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    second = _confirmed(_alike(more, nodes, hashes, least), sets, percent)
-    joined = settle(components(first.unionByName(second)))
-    of_class = classes.join(joined, "node", "left").select("n", "fa", "fb", F.coalesce("component", "node").alias("component_id"))
-    out = sketches.join(of_class, ["n", "fa", "fb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
+    sets = settle(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").mapInArrow(full_sets, "node long, members binary"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return settle(_confirmed(_alike(pairs, nodes, hashes, least), sets, percent))
+
+    def still_open(found: DataFrame) -> DataFrame:
+        """key, node, component, main of the keys with several components."""
+        placed = settle(shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+        main = placed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("several"))
+        return settle(placed.join(settle(main.filter("several > 1").select("key", F.col("m.component").alias("main"))), "key"))
+
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    links = confirm(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+    found = settle(components(links))
+    keys = still_open(found)
+    for r in range(rounds + 1):
+        if keys.isEmpty():
+            break
+        if r < rounds:
+            middle = keys.filter("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node")).alias("m"))
+            pairs = keys.filter("component <> main").join(settle(middle.select("key", F.col("m.node").alias("middle"))), "key").select(*pair("node", "middle"))
+            links = links.unionByName(confirm(pairs.distinct()))
+        else:
+            links = links.unionByName(settle(_in_tiles(keys, sets, percent)))
+        found = settle(components(links))
+        if r < rounds:
+            keys = still_open(found)
+    of_class = classes.join(found, "node", "left").select("n", "fa", "fb", F.coalesce("component", "node").alias("component_id"))
+    out = sketches.join(settle(of_class), ["n", "fa", "fb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
