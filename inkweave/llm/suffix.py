@@ -37,7 +37,7 @@ from inkweave.llm.common import NO_ID, keyed, mix, octets, pieces
 
 DEPTH, DIGIT = 50, 20
 #: Bytes of text for each bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Documents of one batch that make a digit hot.
 HOT = 32
 #: Bytes of text for which digits are packed together.
@@ -280,12 +280,10 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
 
 
-def string_hashes(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each of the stretches that make up raw, each of ``DEPTH`` bytes or more: of its windows at both ends."""
-    start = np.cumsum(size) - size
-    h = rolling(raw, DEPTH)
-    middle = start + (size - DEPTH) // 2
-    return mix(mix(h[start] + np.uint64(3) * h[start + size - DEPTH]) + h[middle] * np.uint64(5) + size.astype(np.uint64))
+def string_hashes(window: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of ``DEPTH`` to ``2 * DEPTH`` bytes, from the hashes of the windows that cover it."""
+    h, last = window[start], size - DEPTH
+    return mix(mix(h + np.uint64(3) * window[start + last]) + window[start + last // 2] * np.uint64(5) + size.astype(np.uint64))
 
 
 def _second_digits(n: int):
@@ -304,9 +302,11 @@ def _second_digits(n: int):
         touched = np.zeros(len(ids), bool)
         touched[row] = True
         got = []
+        window = np.zeros(len(raw), np.uint64)
         for i, j in pieces(at):
             if not touched[i:j].any():
                 continue
+            window[at[i] : at[j]] = rolling(raw[at[i] : at[j]], DEPTH)
             place, h, first, last = runs(raw[at[i] : at[j]], at[i : j + 1] - at[i])
             good = mark[place + at[i]] > 0
             got.append((place[good] + at[i], h[good], first[good] + at[i], last[good] + at[i]))
@@ -320,7 +320,7 @@ def _second_digits(n: int):
         step = np.arange(len(source)) - np.repeat(np.cumsum(each) - each, each)
         start = first[source] + np.where(warm[source], step, 0)
         size = np.where(warm[source], DEPTH, n_windows[source] - 1 + DEPTH)
-        whole = string_hashes(_gather(raw, start, size), size)
+        whole = string_hashes(window, start, size)
         dealt = np.where(warm[source], whole, h[source])
         of = np.searchsorted(at, start, side="right") - 1
         order = np.lexsort((ids[of], whole))
@@ -355,8 +355,9 @@ def _covered(n: int):
         if asked:
             ids, segs, offset, size, raw = _columns(asked, 5)
             size = size.astype(np.int64)
-            whole = string_hashes(raw, size)
+            window = rolling(raw, DEPTH)
             start = np.cumsum(size) - size
+            whole = string_hashes(window, start, size)
             _, one, same = np.unique(whole, return_index=True, return_inverse=True)
             least = np.full(len(one), NO_ID, np.int64)
             np.minimum.at(least, same, ids)
@@ -364,7 +365,8 @@ def _covered(n: int):
             windows = size[one] - DEPTH + 1
             end = np.cumsum(windows)
             base = np.repeat(start[one] - (end - windows), windows) + np.arange(end[-1])
-            h = rolling(raw, DEPTH)[base]
+            h = window[base]
+            del window, base
             owner = np.repeat(np.arange(len(one)), windows)
             order = np.argsort(h, kind="stable")
             new = np.ones(len(h), bool)
