@@ -101,14 +101,15 @@ def exact_groups(docs: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFrame
     docs = keyed(docs)
     prints = settle(fingerprints(docs, primes).withColumn("_row", F.monotonically_increasing_id()))
     key = ["n_bytes", "fingerprint"]
-    groups = prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    # Grouped figures are written before they are joined, so that a join may split the rows of a large group.
+    groups = settle(prints.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key))
     # Grouped by the row alone, so that the join before may split a large group.
     members = prints.join(groups, key, "left_semi").groupBy("_id", "_seg").agg(*(F.min(c).alias(c) for c in key))
     left = settle(_chunks(docs.join(members, ["_id", "_seg"])))
     classes, number = None, 0
     while True:
         first = left.groupBy(*key).agg(F.min(F.struct("_id", "_seg")).alias("f")).select(*key, F.col("f._id").alias("_id"), F.col("f._seg").alias("_seg"))
-        first_parts = left.join(first, [*key, "_id", "_seg"], "left_semi").select(*key, "chunk", F.col("part").alias("first_part")).dropDuplicates([*key, "chunk"])
+        first_parts = settle(left.join(first, [*key, "_id", "_seg"], "left_semi").select(*key, "chunk", F.col("part").alias("first_part")).dropDuplicates([*key, "chunk"]))
         same = left.join(first_parts, [*key, "chunk"]).select("_id", "_seg", (F.col("part") == F.col("first_part")).alias("same"))
         differ = settle(same.groupBy("_id", "_seg").agg(F.min("same").alias("same")).filter("not same").select("_id", "_seg"))
         if differ.isEmpty():
@@ -121,7 +122,7 @@ def exact_groups(docs: DataFrame, primes: tuple[int, ...] = PRIMES) -> DataFrame
         prints = prints.withColumn("class", F.lit(0))
     else:
         prints = prints.join(classes.groupBy("_id", "_seg").agg(F.max("class").alias("class")), ["_id", "_seg"], "left").fillna(0, ["class"])
-    stays = prints.groupBy(*key, "class").agg(F.min(F.struct((-F.col("n_points")).alias("n"), "_id", "_row")).alias("keep"), F.count("*").alias("group_size"))
+    stays = settle(prints.groupBy(*key, "class").agg(F.min(F.struct((-F.col("n_points")).alias("n"), "_id", "_row")).alias("keep"), F.count("*").alias("group_size")))
     known = lambda c: F.when(c != NO_ID, c)
     return prints.join(stays, [*key, "class"]).select(known(F.col("_id")).alias("doc_id"), known(F.col("keep._id")).alias("keep_id"), "group_size", (F.col("_row") == F.col("keep._row")).alias("kept"), "text_sha256")
 
