@@ -140,7 +140,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(permuted(j % n, n, key)), pa.array((j // n).astype(np.int32))], ["_s", "block", "pass"])
 
     taken = sources.select("_s", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j")).mapInArrow(take, "_s int, block long, pass int")
-    spans = parts.join(taken, ["_s", "block"]).select("_row", "_id", "_seg", "pass", "first", "n")
+    # The optimiser takes the slots for as small as the rows they are made from; a merge join keeps them from being broadcast.
+    spans = parts.join(taken.hint("merge"), ["_s", "block"]).select("_row", "_id", "_seg", "pass", "first", "n")
     return sized, plan, spans
 
 
