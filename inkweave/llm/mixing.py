@@ -11,7 +11,8 @@ Offsets in a stream are two levels of sums, over stretches of about the square r
 meets a whole source.  Only figures of sources reach the driver (``MOST_SOURCES`` at most).
 
 Defined results: a null text has size 0 and is never taken; a null source is a source and comes last; rows that repeat
-a doc_id are counted row by row; an empty table gives an empty result.  Equal input and seed give equal results.
+a doc_id are counted row by row; an empty table gives an empty result.  Equal input and seed give equal
+results, however the input is split: row numbers only tell equal rows of one doc_id apart.
 """
 
 from __future__ import annotations
@@ -119,10 +120,10 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BL
     blocks = [-(-n // block) for n in size]
     slots = [min(PASSES * b, round(t * b / n)) if n else 0 for n, t, b in zip(size, target, blocks, strict=True)]
     plan = spark.createDataFrame([(i, r["source"], r["size"], t, max(1, round(r["rows"] ** 0.5))) for i, (r, t) in enumerate(zip(found, target, strict=True))], "_s int, source string, source_size long, target double, stretches int")
-    known = sized.join(F.broadcast(plan.select("_s", "source", "stretches")), sized["source"].eqNullSafe(plan["source"])).select("_s", "_row", "_id", "_seg", "size", F.pmod(F.xxhash64("_id", "_row", F.lit(seed)), F.col("stretches")).alias("stretch")).filter("size > 0")
+    known = sized.join(F.broadcast(plan.select("_s", "source", "stretches")), sized["source"].eqNullSafe(plan["source"])).select("_s", "_row", "_id", "_seg", "size", F.pmod(F.xxhash64("_id", "_seg", F.lit(seed)), F.col("stretches")).alias("stretch")).filter("size > 0")
     sums = known.groupBy("_s", "stretch").agg(F.sum("size").alias("n"))
     before = sums.select("_s", "stretch", (F.sum("n").over(Window.partitionBy("_s").orderBy("stretch")) - F.col("n")).alias("base"))
-    inner = F.sum("size").over(Window.partitionBy("_s", "stretch").orderBy("_row")) - F.col("size")
+    inner = F.sum("size").over(Window.partitionBy("_s", "stretch").orderBy("_id", "_seg", "_row")) - F.col("size")
     placed = known.select("*", inner.alias("inner")).join(before, ["_s", "stretch"]).select("_s", "_row", "_id", "_seg", "size", (F.col("base") + F.col("inner")).alias("at"))
     cut = placed.select("*", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     begin, end = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)

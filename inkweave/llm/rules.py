@@ -164,5 +164,8 @@ def filter_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     """The rows of docs that the base test and the list keep, with every column; texts stay in their row."""
     rules = learn_from(docs, labels, sample)
     inner = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
-    d = with_shares(measures(inner, "_all")).filter(~base_failed() & verdict(rules))
+    good = ~base_failed() & verdict(rules)
+    # The rows that stay are exploded from an array: a plain filter would be pushed below the measures, with a copy of
+    # their expressions for each use.
+    d = with_shares(measures(inner, "_all")).select(F.explode_outer(F.when(good, F.array("_all"))).alias("_all")).filter("_all is not null")
     return d.select(*(F.col("_all").getField(c).alias(c) for c in docs.columns))
