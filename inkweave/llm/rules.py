@@ -146,6 +146,15 @@ def fired(rules: list[Rule]) -> Column:
     return out.otherwise(F.lit(0))
 
 
+def _apart(measured: DataFrame, row: Column) -> DataFrame:
+    """The fields of a struct, exploded from an array of one: filters on them stay above.
+
+    Otherwise a filter is pushed below the measures with a copy of their expressions for each use, and again below the
+    next ones, until planning takes minutes.
+    """
+    return measured.select(F.explode_outer(F.array(row)).alias("row")).select("row.*")
+
+
 def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """The list for labels (doc_id, quality: 0 is bad); null labels are left out, of several the lowest counts."""
     some = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -156,8 +165,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row for each row of docs: the measures, base_failed, kept and rule (the number of the rule that rejects, else 0)."""
     rules = learn_from(docs, labels, sample)
-    d = with_shares(measures(docs))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"), fired(rules).alias("rule"))
+    row = F.struct("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & verdict(rules)).alias("kept"), fired(rules).alias("rule"))
+    return _apart(with_shares(measures(docs)), row)
 
 
 def filter_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -165,7 +174,5 @@ def filter_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Dat
     rules = learn_from(docs, labels, sample)
     inner = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_all"))
     good = ~base_failed() & verdict(rules)
-    # The rows that stay are exploded from an array: a plain filter would be pushed below the measures, with a copy of
-    # their expressions for each use.
-    d = with_shares(measures(inner, "_all")).select(F.explode_outer(F.when(good, F.array("_all"))).alias("_all")).filter("_all is not null")
+    d = _apart(with_shares(measures(inner, "_all")), F.struct("_all", good.alias("_good"))).filter("_good")
     return d.select(*(F.col("_all").getField(c).alias(c) for c in docs.columns))
