@@ -533,6 +533,35 @@ def chunk_fixed(g):
     return d.select("path", "ordinal", F.expr("substring(text, cast(ordinal * 600 + 1 as int), 680)").alias("chunk"))
 
 
+@query()
+def chunk_greedy(g):
+    from inkweave.functions.chunks import greedy_chunks
+
+    return g.file.select("path", F.posexplode(greedy_chunks(F.col("text"))).alias("ordinal", "chunk"))
+
+
+@query(f"WITH {TOK} SELECT path, i - 1 AS pos, t[i] AS term FROM (SELECT path, t, unnest(range(1, len(t) + 1)) AS i FROM tok)")
+def doc_tokens(g):
+    return g.file.select("path", F.posexplode(T.tokens(F.col("text"))).alias("pos", "term"))
+
+
+@query(f"WITH {_bm25_sql(['the', 'of'], False)} SELECT path, source, score FROM (SELECT h.path, f.source, h.score, row_number() OVER (PARTITION BY f.source ORDER BY h.score, h.path) AS r FROM hit h JOIN file f USING (path) WHERE starts_with(h.path, 'en/')) WHERE r = 1 ORDER BY score, path LIMIT 3")
+def recall(g):
+    from pyspark.sql import Window
+
+    hits = T.bm25(g.file, ["the", "of"]).filter(F.col("path").startswith("en/")).select("path", F.round("score", 6).alias("score")).join(g.file.select("path", "source"), "path")
+    return hits.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("score", "path"))).filter("r = 1").select("path", "source", "score").orderBy("score", "path").limit(3)
+
+
+@query()
+def snippet(g):
+    t = T.tokens(F.col("text"))
+    at = F.array_position("t", "license").cast("int")
+    d = g.file.select("path", t.alias("t")).filter(F.array_contains("t", "license"))
+    cut = F.slice("t", F.greatest(at - 4, F.lit(1)), F.lit(10))
+    return d.select("path", F.array_join(F.transform(cut, lambda w: F.when(w == "license", F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ").alias("snippet"))
+
+
 # Event windows: an extension, the batch form of streaming/feed.py
 
 
@@ -545,3 +574,8 @@ def events_tumbling(g):
     SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""")
 def events_session(g):
     return g.table("events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
+
+
+@query("SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1")
+def events_sliding(g):
+    return g.table("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
