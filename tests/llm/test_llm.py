@@ -193,6 +193,28 @@ def test_op5_lm(spark, docs, empty):
     assert lm.scores(empty, target).count() == 0
 
 
+def test_op5_counts_words_and_pairs_exactly(spark):
+    """By words themselves, over more words and pairs than 2**16 and 2**18 classes tell apart."""
+    rows = [(i, " ".join(f"w{(i * 997 + j * j) % 100_003}" for j in range(600)) + " the end") for i in range(600)]
+    target = set(range(0, 600, 7))
+    got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    counts = [[Counter() for _ in range(3)] for _ in range(2)]
+    for i, t in rows:
+        w = t.split()
+        for m in ([0, 1] if i in target else [1]):
+            for k, tokens in enumerate((w, [None, *w[:-1]], zip([None, *w[:-1]], w, strict=True))):
+                counts[m][k].update(tokens)
+    assert len(counts[1][0]) > 1 << 16 and len(counts[1][2]) > 1 << 18
+    by = {r.doc_id: r for r in got}
+    for i, t in rows[::50]:
+        w = t.split()
+        loss = []
+        for word, context, pair in counts:
+            p1 = {x: (word[x] + 0.5) / (sum(word.values()) + 0.5 * len(counts[1][0])) for x in set(w)}
+            loss.append(-sum(math.log((pair[b, x] + lm.PRIOR * p1[x]) / (context[b] + lm.PRIOR)) for b, x in zip([None, *w[:-1]], w, strict=True)) / len(w))
+        assert (by[i].target_loss, by[i].background_loss) == pytest.approx(loss, abs=1e-9)
+
+
 @pytest.mark.parametrize("hot", [32, 2])
 def test_op6_repeats(docs, empty, hot):
     first = {}
