@@ -86,3 +86,19 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     # Local best first: the group limit below ranks inside partitions before it shuffles.
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def length_metrics(turns: DataFrame) -> DataFrame:
+    """role, n, median and p95 of the text lengths of each role.
+
+    Rows are counted by length first, so running sums over a role's distinct lengths find the places; a null text has a
+    place after all lengths for p95 and none for the median.
+    """
+    from pyspark.sql import Window
+
+    role = Window.partitionBy("role")
+    up = role.orderBy(F.col("len").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = turns.select("role", F.length("text").cast("long").alias("len")).groupBy("role", "len").agg(F.count("*").alias("m"))
+    c = c.select("role", "len", "m", F.sum("m").over(up).alias("upto"), F.sum("m").over(role).alias("n"), F.coalesce(F.sum(F.when(F.col("len").isNotNull(), F.col("m"))).over(role), F.lit(0)).alias("known"))
+    at = lambda place: F.min(F.when(F.col("upto") > F.expr(place), F.col("len")))
+    return c.groupBy("role").agg(F.first("n").alias("n"), ((at("(known - 1) div 2") + at("known div 2")) / 2).alias("median"), at("95 * (n - 1) div 100").alias("p95"))

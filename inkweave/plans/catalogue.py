@@ -455,9 +455,7 @@ def read_document_page(g):
 
 @query("SELECT role, count(*) AS n, quantile_cont(length(text), 0.5) AS median, list_sort(list(length(text)))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1] AS p95 FROM conversations GROUP BY 1")
 def eval_metrics(g):
-    c = g.table("conversations").select("role", F.length("text").cast("long").alias("n"))
-    rank = c.groupBy("role").agg(F.count("*").alias("n"), F.percentile("n", 0.5).alias("median"), F.element_at(F.sort_array(F.collect_list("n")), (F.floor(0.95 * (F.count("*") - 1)) + 1).cast("int")).alias("p95"))
-    return rank
+    return T.length_metrics(g.table("conversations"))
 
 
 # Identifiers and scalars
