@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,18 +74,49 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Queries of a block, vectors of a chunk.
+BLOCK, CHUNK = 1000, 4096
+
+
+def _packed(vectors: DataFrame, name: str, rows: int) -> DataFrame:
+    """ids, name: vectors packed by so many rows; a null vector has no distance and is left out."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, len(b), rows):
+                part = b.slice(i, rows)
+                flat = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(0)), pa.array([flat.tobytes()], pa.binary())], [f"{name}_ids", name])
+
+    v = vectors.filter("embedding is not null").select("vec_id", "embedding")
+    return v.mapInArrow(run, f"{name}_ids array<{v.schema['vec_id'].dataType.simpleString()}>, {name} binary")
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, distance, rank of the k nearest vectors of each query.  queries: a few (checked) rows.
+    """query_id, vec_id, distance, rank of the k nearest vectors of each query; any number of queries.
 
-    Each task keeps its own k best for each query before the shuffle, so what moves is k rows for each task and query.
+    Blocks of queries meet chunks of vectors inside Arrow batches.  A chunk gives a query its own k best, so what moves
+    is k rows for each chunk and query.
     """
     from pyspark.sql import Window
 
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    if q.limit(1001).count() > 1000:
-        raise ValueError("knn takes at most 1000 queries; split them")
-    d = vectors.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(cosine_distance(F.col("embedding"), F.col("q")), 6).alias("distance"))
-    # Local best first: the group limit below ranks inside partitions before it shuffles.
+    def run(batches):
+        for b in batches:
+            for at in range(len(b)):
+                q_ids, v_ids = (b.column(c)[at].values for c in ("q_ids", "v_ids"))
+                q, v = (np.frombuffer(b.column(c)[at].as_py(), np.float64).reshape(n, -1) for c, n in (("q", len(q_ids)), ("v", len(v_ids))))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = 1 - (q @ v.T) / np.sqrt(np.outer((q * q).sum(1), (v * v).sum(1)))
+                near = np.round(near, 6) + 0.0
+                ids = v_ids.to_numpy(zero_copy_only=False)
+                for i, d in enumerate(near):
+                    some = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if k < len(d) and not np.isnan(d).any() else np.flatnonzero(~np.isnan(d))
+                    some = some[np.lexsort((ids[some], d[some]))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([q_ids[i].as_py()] * len(some), q_ids.type), v_ids.take(pa.array(some)), pa.array(d[some])], ["query_id", "vec_id", "distance"])
+
+    pairs = _packed(vectors, "v", CHUNK).crossJoin(_packed(queries, "q", BLOCK))
+    kind = lambda df: df.schema["vec_id"].dataType.simpleString()
+    d = pairs.mapInArrow(run, f"query_id {kind(queries)}, vec_id {kind(vectors)}, distance double")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

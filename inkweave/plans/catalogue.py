@@ -407,6 +407,12 @@ def knn_batch(g):
     return T.knn(v.select("vec_id", "embedding"), v.filter("vec_id < 10"), 20)
 
 
+@query("SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (" + DIST.format(q="q.vec_id", w="q.vec_id % 100 = 0") + ")) WHERE rank <= 20")
+def knn_hundredth(g):
+    v = g.table("embeddings")
+    return T.knn(v, v.filter("vec_id % 100 = 0"), 20)
+
+
 RRF = f"{_bm25_sql(['license', 'under'], False)}, l1 AS (SELECT path, row_number() OVER (ORDER BY score, path) AS rank FROM (SELECT * FROM hit ORDER BY score, path LIMIT 200)), l2 AS (SELECT path, row_number() OVER (ORDER BY size DESC, path) AS rank FROM (SELECT * FROM file ORDER BY size DESC, path LIMIT 200)), fused AS (SELECT path, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1)"
 
 

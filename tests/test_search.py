@@ -1,6 +1,7 @@
 """Search operators on awkward rows."""
 
 import duckdb
+import numpy as np
 
 from inkweave.operators import text as T
 from inkweave.plans import catalogue
@@ -17,3 +18,20 @@ def test_length_metrics_counts_before_it_ranks(spark, tmp_path):
     want = duck.execute(f"SELECT role, n, median, p95 FROM ({catalogue.SQL['eval_metrics']})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("role", "n", "median", "p95").collect())
     assert catalogue.QUERIES["eval_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().find("collect_list") < 0
+
+
+def test_knn_takes_any_number_of_queries(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2300, 8)).astype(np.float32)
+    x[5] = x[4]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2300, None)], "vec_id long, embedding array<float>").repartition(3)
+    got = {}
+    for r in T.knn(frame, frame, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.distance, r.vec_id)
+    y = x.astype(float)
+    length = np.sqrt((y * y).sum(1))
+    near = np.round(1 - y @ y.T / np.outer(length, length), 6) + 0.0
+    assert len(got) == 2300
+    for q in range(2300):
+        best = sorted(zip(near[q].tolist(), range(2300), strict=True))[:4]
+        assert [got[q][i + 1] for i in range(4)] == best
