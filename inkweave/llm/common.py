@@ -2,8 +2,8 @@
 
 Conventions that hold for every operator here:
 
-* a document table has at least ``doc_id`` and ``text``; other columns are ignored unless an operator says otherwise, so
-  clashing names in them do no harm;
+* a document table has at least ``doc_id``, an integer (read as a long), and ``text``; other columns are ignored unless an
+  operator says otherwise, so clashing names in them do no harm;
 * a null text counts as the empty text, a null ``doc_id`` sorts after every other id;
 * rows that repeat a ``doc_id`` stay separate rows of the result.
 """
@@ -54,17 +54,16 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (never null), ``_id`` (never null) and ``_seg``, which tells apart different texts under one doc_id.
+def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id, text (never null), ``_id`` (never null), ``_row``, unique to each row, and with keep ``_all``, the row itself.
 
-    ``_seg`` is 0 unless a doc_id is repeated, so it costs nothing when packed; only then the texts are joined with the
-    repeated ids.
+    A null doc_id is ``NO_ID``, after every other.  Where doc_ids are unique they are the row keys.  Otherwise rows are
+    numbered once and written, so that every later reading of them sees the same numbers; nothing rests on a hash.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), *more)
-    again = d.groupBy("_id").agg(F.count("*").alias("_n")).filter("_n > 1").select("_id", F.lit(True).alias("_again"))
-    if again.isEmpty():
-        return d.withColumn("_seg", F.lit(0).cast("long"))
-    return d.join(again, "_id", "left").withColumn("_seg", F.when(F.col("_again"), F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF))).otherwise(F.lit(0).cast("long"))).drop("_again")
+    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), *([F.struct(*docs.columns).alias("_all")] if keep else []))
+    if d.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return d.withColumn("_row", F.col("_id"))
+    return settle(d.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,10 +9,10 @@ from inkweave.llm.common import settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node joins its larger neighbours to the least of its neighbourhood."""
+    """Each node joins its larger neighbours to the least of its neighbourhood; an edge may come out several times."""
     both = edges.unionByName(edges.select(F.col("low").alias("high"), F.col("high").alias("low")))
     least = settle(both.groupBy(F.col("high").alias("low")).agg(F.min("low").alias("m")).select("low", F.least("low", "m").alias("m")))
-    return edges.join(least, "low").select("high", F.col("m").alias("low")).distinct()
+    return edges.join(least, "low").select("high", F.col("m").alias("low"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -22,19 +22,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("high", F.col("m").alias("low"))).distinct()
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether every node has one lower neighbour at most, and none of those that have one is itself a lower neighbour."""
+    ends = edges.select(F.col("high").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("low").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").count() == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node reachable, for every node of an edge.
 
-    Rounds go on until the edges stay as they are, which takes about the logarithm of the longest chain; each round is
-    written to the shared folder, the grouped minima too, so that the joins may split a node with many edges.  Null ends and loops are ignored.
+    Rounds go on until only stars are left, which takes about the logarithm of the longest chain, and none where the
+    edges are stars already.  Each round is written to the shared folder, the grouped minima too, so that the joins may
+    split a node with many edges.  Null ends and loops are ignored.
     """
     now = settle(edges.filter(f"{a} <> {b}").select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct())
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)"))).first())
-    before = state(now)
-    while before[0]:
+    while not _only_stars(now):
         now = settle(_small_star(_large_star(now)))
-        after = state(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(now.select(F.col("low").alias("node"), F.col("low").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    return now.select(F.col("high").alias("node"), F.col("low").alias("component")).unionByName(now.select("low").distinct().select(F.col("low").alias("node"), F.col("low").alias("component")))

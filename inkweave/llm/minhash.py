@@ -1,21 +1,21 @@
 """MinHash near-duplicates: many universal hash minima, banding, signature verification, exact confirmation, components.
 
-1. Each text becomes the set of its word shingles (64-bit hashes).  Texts with equal sets are one class, found by a sum
-   of hashes with partial aggregation, and only the class's smallest id goes on: copies are never expanded.
+1. Each text becomes the set of its word shingles (64-bit hashes).  Texts with equal sets are one class, found by two
+   sums of hashes with partial aggregation, and only one row of the class goes on: copies are never expanded.
 2. The set's minima under ``hashes`` multiply-shift functions form its signature; bands of ``rows`` minima are keys.
-3. Every id of a key is compared with the key's smallest id only.  A pair whose signatures agree far too little for the
-   threshold is dropped (the chance to drop a true pair is about 1e-8); the others are confirmed on full sets.
-4. Components of the confirmed links.  In keys that still hold several components, the ids outside the key's largest
-   component are compared with one of its members, another one in each of ``rounds`` rounds.
-5. Ids that open keys still chain together form a family.  In each family the ids outside its largest component are
-   compared with all others on full sets, in tiles of ``TILE`` by ``TILE``: a tile multiplies membership matrices and
-   returns only a spanning star of each group that it finds linked, so no list of pairs is ever made.  Every two texts
-   that share a key thus end up compared or connected.
-6. Components of all confirmed links.
-
-Defined results: texts without words have an empty set and are linked with nothing; a null doc_id cannot be linked: its
-component_id is null and the row is kept; rows that repeat a doc_id are
-linked by their own texts under that id; an empty table gives an empty result.
+3. Every class of a key is compared with two centres of the key, its least row and a pseudorandom one.  A pair whose
+   signatures agree far too little for the threshold is dropped (the chance to drop a true pair is about 1e-8); the
+   others are confirmed on full sets.
+4. Components of the confirmed links.  Components that share a key which still holds several of them form a family.
+   In each family the classes outside its largest component are compared with all others on full sets, in tiles of
+   ``TILE`` by ``TILE``: a tile multiplies membership matrices and returns only a spanning star of each group that it
+   finds linked, so no list of pairs is ever made.  Every two texts that share a key thus end up compared or connected.
+5. Components of the components that the tiles linked.
+
+Defined results: rows are linked one by one, also those that repeat a doc_id or have none; component_id is the smallest
+doc_id of the component (null if no row of it has one); texts without words have an empty set and are linked with
+nothing; kept compares the two ids, so of repeated rows several can be kept, while ``stays`` is true of one row of each
+component only: that with the smallest doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import mix, octets, pieces, settle, words
+from inkweave.llm.common import NO_ID, keyed, mix, octets, pieces, settle, words
 from inkweave.llm.components import components
 
 #: Texts on each side of a tile.
@@ -101,40 +101,46 @@ def _sketch(docs: DataFrame, k: int, rows: int, bands: int, hashes: int) -> Data
                 blobs, flat = [None] * len(n), (sig >> np.uint32(8)).astype(np.uint8).tobytes()
                 for x, y in zip(np.flatnonzero(some), range(len(sig)), strict=True):
                     blobs[x] = flat[y * hashes : (y + 1) * hashes]
-                yield _batch({"doc_id": b.column("doc_id").slice(i, j - i), "n": pa.array(n, pa.int64()), "fa": pa.array((total[o[1:]] - total[o[:-1]]).view(np.int64)), "fb": pa.array((other[o[1:]] - other[o[:-1]]).view(np.int64)), "keys": keys, "sig": pa.array(blobs, pa.binary())})
+                yield _batch({"_row": b.column("_row").slice(i, j - i), "_id": b.column("_id").slice(i, j - i), "n": pa.array(n, pa.int64()), "fa": pa.array((total[o[1:]] - total[o[:-1]]).view(np.int64)), "fb": pa.array((other[o[1:]] - other[o[:-1]]).view(np.int64)), "keys": keys, "sig": pa.array(blobs, pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, fa long, fb long, keys array<long>, sig binary")
+    return docs.select("_row", "_id", "text").mapInArrow(run, "_row long, _id long, n long, fa long, fb long, keys array<long>, sig binary")
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame, hashes: int, least: int) -> DataFrame:
-    """The pairs whose signatures agree in ``least`` places or more."""
-    one = lambda c: sketches.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, members: signature and shingle hashes of the wanted rows (node, sig)."""
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), hashes) for c in ("sig_a", "sig_b"))
-            good = pa.array((x == y).sum(axis=1) >= least)
-            yield _batch({c: b.column(c).filter(good) for c in ("a", "b")})
+            raw, at = octets(b.column("text"))
+            for i, j in pieces(at):
+                s, o = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], k)
+                yield _batch({"node": b.column("node").slice(i, j - i), "members": pa.array([b.column("sig")[i + x].as_py() + s[o[x] : o[x + 1]].tobytes() for x in range(j - i)], pa.binary())})
 
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return docs.join(wanted, docs["_row"] == wanted["node"]).select("node", "sig", "text").mapInArrow(run, "node long, members binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hashes: int, least: int) -> DataFrame:
+    """The pairs whose signatures agree in ``least`` places and that have 100 * intersection >= percent * union.
+
+    a is the centre of many pairs: its set is joined last, and does not move again.
+    """
     one = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"set_{c}"))
 
     def run(batches):
         for b in batches:
             good = []
             for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                together = np.sort(np.concatenate([p, q]), kind="stable")
+                x, y = x.as_buffer(), y.as_buffer()
+                if np.count_nonzero(np.frombuffer(x, np.uint8, hashes) == np.frombuffer(y, np.uint8, hashes)) < least:
+                    good.append(False)
+                    continue
+                together = np.sort(np.concatenate([np.frombuffer(x, np.uint64, -1, hashes), np.frombuffer(y, np.uint64, -1, hashes)]), kind="stable")
                 common = int(np.count_nonzero(together[1:] == together[:-1]))
                 good.append(100 * common >= percent * (len(together) - common))
             good = pa.array(good, pa.bool_())
             yield _batch({c: b.column(c).filter(good) for c in ("a", "b")})
 
-    return pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def linked_stars(x: list[np.ndarray], y: list[np.ndarray], apart: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -172,14 +178,13 @@ def linked_stars(x: list[np.ndarray], y: list[np.ndarray], apart: np.ndarray, pe
     return out
 
 
-def _in_tiles(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: enough of the links across components inside each family of ids that open keys (key, node, component) chain."""
-    ends = settle(keys.groupBy("key").agg(F.min("node").alias("a")))
-    families = components(keys.join(ends, "key").select("a", F.col("node").alias("b"))).select("node", F.col("component").alias("family"))
-    placed = settle(families.join(keys.select("node", "component").distinct(), "node"))
-    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("size")).groupBy("family").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all")).filter("all > m.size")
+def _in_tiles(keys: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """a, b: enough of the linked components inside each family of components that open keys (key, node, component, lo) chain."""
+    families = components(keys.select("lo", "component"), "lo", "component").select(F.col("node").alias("component"), F.col("component").alias("family"))
+    placed = settle(keys.select("node", "component").distinct().join(settle(families), "component"))
+    sizes = placed.groupBy("family", "component").agg(F.count("*").alias("size")).groupBy("family").agg(F.max(F.struct("size", "component")).alias("m"), F.sum("size").alias("all"))
     sizes = settle(sizes.select("family", F.col("m.component").alias("main"), F.ceil(F.col("all") / TILE).alias("tiles"), F.ceil((F.col("all") - F.col("m.size")) / TILE).alias("outer_tiles")))
-    full = placed.join(sizes, "family").join(sets.dropDuplicates(["node"]), "node")
+    full = placed.join(sizes, "family").join(sets, "node")
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     fields = ("node", "component", "main", "members")
@@ -187,70 +192,63 @@ def _in_tiles(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     outer = full.filter("component <> main").select("family", every("tiles").alias("t"), spot("outer_tiles").alias("o"), *fields).toDF("family", "t", "o", *fields)  # fresh columns: both sides come from one frame
 
     def run(outers: pa.Table, members: pa.Table) -> pa.Table:
-        x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("members")] for t in (outers, members))
-        pairs = []
+        x, y = ([np.frombuffer(v.as_buffer(), np.uint64, -1, hashes) for v in t.column("members")] for t in (outers, members))
+        pairs: set[tuple[int, int]] = set()
         if x and y:
             (xn, xc, _), (yn, yc, main) = (tuple(t.column(c).to_numpy() for c in ("node", "component", "main")) for t in (outers, members))
             apart = (xc[:, None] != yc[None, :]) & ((yc == main)[None, :] | (xn[:, None] > yn[None, :]))
-            nodes = np.concatenate([xn, yn])
-            pairs = [(nodes[i], nodes[j]) for i, j in linked_stars(x, y, apart, percent)]
+            of = np.concatenate([xc, yc])
+            pairs = {(int(of[i]), int(of[j])) for i, j in linked_stars(x, y, apart, percent) if of[i] != of[j]}
         return pa.table({c: pa.array([p[k] for p in pairs], pa.int64()) for k, c in enumerate(("a", "b"))})
 
     tile = ("family", "t", "o")
     return outer.groupBy(*tile).cogroup(member.groupBy(*tile)).applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 28, hashes: int = 256, rounds: int = 1) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
-
-    At 4 rows, 28 bands find a pair at similarity 0.8 but for a chance of 4e-7, and 20 bands one at 0.85.
-    """
+def labelled(docs: DataFrame, k: int, percent: int, rows: int, bands: int, hashes: int) -> DataFrame:
+    """_row, _id, n (set size), least (_id and _row of the component's first row; null for empty sets) of each keyed row."""
     p = percent / 100
     least = math.floor(p * hashes - 5.5 * math.sqrt(p * (1 - p) * hashes))
     sketches = settle(_sketch(docs, k, rows, bands, hashes))
-    linked = sketches.filter("doc_id is not null and n > 0")
-    # Grouped minima are written before they are joined, so that a join may split the rows of a large group.
-    classes = settle(linked.groupBy("n", "fa", "fb").agg(F.min("doc_id").alias("node")))
-    nodes = settle(linked.join(classes, ["n", "fa", "fb"]).filter("doc_id = node").dropDuplicates(["node", "fa", "fb"]).select("node", "n", "keys", "sig"))
+    # Grouped figures are written before they are joined, so that a join may split the rows of a large group.
+    of_set = ("n", "fa", "fb")
+    nodes = settle(sketches.filter("n > 0").groupBy(*of_set).agg(F.min("_row").alias("node"), F.min(F.struct("_id", "_row")).alias("least"), F.min_by(F.struct("keys", "sig"), "_row").alias("s")).select(*of_set, "node", "least", "s.keys", "s.sig"))
     by_key = nodes.select("node", F.explode("keys").alias("key"))
-    centers = settle(by_key.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1").select("key", "a"))
+    far = F.min_by("node", F.xxhash64("node"))
+    centers = settle(by_key.groupBy("key").agg(F.min("node").alias("a"), far.alias("c"), F.count("*").alias("size")).filter("size > 1").select("key", "a", F.when(F.col("size") > 2, F.col("c")).otherwise(F.col("a")).alias("c")))
     shared = settle(by_key.join(centers, "key"))
-    members = shared.select("node").distinct()
+    wanted = nodes.select("node", "sig").join(shared.select("node").distinct(), "node", "left_semi")
+    sets = settle(_full_sets(docs, wanted, k))
+    pairs = shared.select(F.explode(F.array("a", "c")).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    found = settle(components(settle(_confirmed(pairs, sets, percent, hashes, least))))
+    placed = settle(shared.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    several = settle(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "lo"))
+    roots = nodes.select(*of_set, "node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if several.count():
+        tiled = settle(_in_tiles(settle(placed.join(several, "key")), sets, percent, hashes))
+        joined = settle(components(tiled).select(F.col("node").alias("component"), F.col("component").alias("root")))
+        roots = roots.join(joined, "component", "left").withColumn("component", F.coalesce("root", "component"))
+    roots = settle(roots.select(*of_set, "component", "least"))
+    first = settle(roots.groupBy("component").agg(F.min("least").alias("least")))
+    of_class = settle(roots.select(*of_set, "component").join(first, "component").select(*of_set, "least"))
+    return sketches.select("_row", "_id", *of_set).join(of_class, [*of_set], "left").select("_row", "_id", "n", "least")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 28, hashes: int = 256) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, stays.
 
-    def full_sets(batches):
-        for b in batches:
-            raw, at = octets(b.column("text"))
-            for i, j in pieces(at):
-                s, o = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], k)
-                yield _batch({"node": b.column("node").slice(i, j - i), "members": pa.array([s[o[x] : o[x + 1]].tobytes() for x in range(j - i)], pa.binary())})
-
-    sets = settle(docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(members, "node").mapInArrow(full_sets, "node long, members binary"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        return settle(_confirmed(_alike(pairs, nodes, hashes, least), sets, percent))
-
-    def still_open(found: DataFrame) -> DataFrame:
-        """key, node, component, main of the keys with several components."""
-        placed = settle(shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
-        main = placed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("several"))
-        return settle(placed.join(settle(main.filter("several > 1").select("key", F.col("m.component").alias("main"))), "key"))
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    links = confirm(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    found = settle(components(links))
-    keys = still_open(found)
-    for r in range(rounds + 1):
-        if keys.isEmpty():
-            break
-        if r < rounds:
-            middle = keys.filter("component = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node")).alias("m"))
-            pairs = keys.filter("component <> main").join(settle(middle.select("key", F.col("m.node").alias("middle"))), "key").select(*pair("node", "middle"))
-            links = links.unionByName(confirm(pairs.distinct()))
-        else:
-            links = links.unionByName(settle(_in_tiles(keys, sets, percent)))
-        found = settle(components(links))
-        if r < rounds:
-            keys = still_open(found)
-    of_class = classes.join(found, "node", "left").select("n", "fa", "fb", F.coalesce("component", "node").alias("component_id"))
-    out = sketches.join(settle(of_class), ["n", "fa", "fb"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    At 4 rows, 28 bands find a pair at similarity 0.8 but for a chance of 4e-7, and 20 bands one at 0.85.
+    """
+    known = lambda c: F.when(c != NO_ID, c)
+    out = labelled(keyed(docs), k, percent, rows, bands, hashes)
+    out = out.select("_row", "least", known(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("least._id", "_id")).alias("component_id"))
+    stays = F.coalesce(F.col("least._row") == F.col("_row"), F.lit(True))
+    same = F.when(F.col("component_id").isNull(), stays).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", "n_shingles", "component_id", same.alias("kept"), stays.alias("stays"))
+
+
+def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, bands: int = 28, hashes: int = 256) -> DataFrame:
+    """The rows of docs, with every column, without those whose component has a row that comes first."""
+    d = keyed(docs, keep=True)
+    gone = labelled(d, k, percent, rows, bands, hashes).filter("least._row <> _row").select("_row")
+    return d.join(gone, "_row", "left_anti").select(*(F.col("_all").getField(c).alias(c) for c in docs.columns))
