@@ -350,15 +350,14 @@ def test_op5_counts_words_and_pairs_exactly(spark):
         assert (by[i].target_loss, by[i].background_loss) == pytest.approx(loss, abs=1e-9)
 
 
-@pytest.mark.parametrize("hot", [32, 2])
-def test_op6_repeats(docs, empty, hot):
+def brute_repeats(rows):
     first = {}
-    for i, t in ROWS:
+    for i, t in rows:
         b, i = (t or "").encode(), math.inf if i is None else i
         for k in range(len(b) - 49):
             first[b[k : k + 50]] = min(i, first.get(b[k : k + 50], math.inf))
     want = Counter()
-    for i, t in ROWS:
+    for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
         for k in range(len(b) - 49):
@@ -366,8 +365,44 @@ def test_op6_repeats(docs, empty, hot):
                 gone[k : k + 50] = b"\1" * 50
         spans = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         want[i, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()] += 1
-    assert Counter(tuple(r) for r in suffix.remove_repeats(docs, hot=hot).collect()) == want
-    assert suffix.remove_repeats(empty).count() == 0
+    return want
+
+
+@pytest.mark.parametrize("how", [{}, {"hot": 2}, {"bits": 3}, {"hot": 2, "bits": 2}, {"hot_all": 3}])
+def test_op6_repeats(docs, empty, how):
+    assert Counter(tuple(r) for r in suffix.remove_repeats(docs, **how).collect()) == brute_repeats(ROWS)
+    assert suffix.remove_repeats(empty, **how).count() == 0
+
+
+@pytest.mark.parametrize("how", [{}, {"bits": 4}, {"hot": 3}, {"hot_all": 5}])
+def test_op6_random_texts(spark, how):
+    """Texts of few letters, long shared stretches, periods, null ids: everything that hashes may confuse."""
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abé"), int(n))) for n in rng.integers(20, 300, 12)] + ["ab" * 80, "x" * 130]
+    rows = [(None if i % 11 == 0 else i // 2 if i % 5 == 0 else i, "".join([pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(0, 5)))] + list(rng.choice(list("cd"), int(rng.integers(0, 60)))))) for i in range(120)]
+    got = Counter(tuple(r) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), **how).collect())
+    assert got == brute_repeats(rows)
+
+
+def test_op6_digit_passes():
+    """The passes against sorting whole windows, through depths that are no multiple of a digit."""
+    rng = np.random.default_rng(9)
+    raw = np.concatenate([rng.integers(97, 99, 3000), rng.integers(0, 256, 500), np.full(200, 97)]).astype(np.uint8)
+    start, eight = rng.integers(0, len(raw) - 60, 2000), suffix.eights(raw)
+    least = rng.integers(0, 40, 2000)
+    for depth in (1, 7, 8, 9, 16, 50):
+        low = {}
+        windows = [raw[s : s + depth].tobytes() for s in start]
+        for w, x in zip(windows, least, strict=True):
+            low[w] = min(low.get(w, 99), x)
+        assert suffix.least_of_equals(start, least, eight, depth).tolist() == [low[w] for w in windows]
+
+
+def test_op6_null_ids_keep_their_own(spark):
+    """Many rows without an id: one is a copy of document 1, one is unlike anything, and loses nothing."""
+    rows = [(1, A * 2), (None, A * 2), (None, "".join(chr(97 + i * i % 23) for i in range(148))), *((None, f"row {i}") for i in range(2000))]
+    got = {(r.n_bytes, r.n_removed) for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.n_bytes > 50}
+    assert got == {(len(A) * 2, 0), (len(A) * 2, len(A) * 2), (148, 0)}
 
 
 def test_op7_licences(docs, empty):
