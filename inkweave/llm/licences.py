@@ -1,8 +1,10 @@
 """Licence scans: identifier tags and notice phrases by Aho-Corasick, licence expressions by a shunting yard.
 
 A text is lower-cased (A-Z), cut into words and joined again with single spaces; one automaton finds every phrase of
-words in one pass.  Behind an identifier tag the rest of the raw line is parsed as a licence expression: operands,
-``with`` before ``and`` before ``or``, and parentheses.
+words in one pass.  Of phrases inside longer ones only the longest states its label, and one that ``not ... under`` comes
+before states none; base phrases always count.  Behind an identifier tag the rest of its own line is parsed as a licence
+expression: operands, ``with`` before ``and`` before ``or``, and parentheses.  Operands must be identifiers of known
+families, and those behind ``with`` exceptions; reading ends at anything else.
 
 Defined results: a null text is empty: no words, no places, empty labels, score 0.  A broken expression gives the labels
 of the operands read so far.  Rows are independent, so ties and repeated rows need no rule; other columns are ignored.
@@ -11,6 +13,7 @@ of the operands read so far.  Rows are independent, so ties and repeated rows ne
 from __future__ import annotations
 
 import re
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -24,18 +27,16 @@ BASE_PHRASES = {
 }
 MORE_PHRASES = {
     "apache license": "apache",
+    "apache license version 1 1": "apache-1.1",
     "apache license version 2 0": "apache-2.0",
+    "artistic license": "artistic",
+    "boost software license": "bsl-1.0",
     "bsd license": "bsd",
-    "cc by nc": "cc-by-nc",
-    "cc by nc nd": "cc-by-nc-nd",
-    "cc by nc sa": "cc-by-nc-sa",
-    "cc by nd": "cc-by-nd",
-    "cc by sa": "cc-by-sa",
     "cc0 1 0": "cc0",
-    "creative commons attribution": "cc-by",
     "creative commons zero": "cc0",
     "dedicated to the public domain": "public-domain",
     "eclipse public license": "epl",
+    "european union public license": "eupl",
     "general public license version 2": "gpl-2.0",
     "general public license version 3": "gpl-3.0",
     "gnu affero general public license": "agpl",
@@ -44,17 +45,31 @@ MORE_PHRASES = {
     "isc license": "isc",
     "mit license": "mit",
     "mozilla public license": "mpl",
+    "open database license": "odbl",
     "permission is hereby granted free of charge": "mit",
     "redistribution and use in source and binary forms": "bsd",
+    "sil open font license": "ofl",
     "this is free and unencumbered software": "unlicense",
+    "zlib license": "zlib",
 }
+#: The conditions that a Creative Commons licence may add, as words and as letters.
+CONDITIONS = {"nc": ("noncommercial", "non commercial"), "nd": ("noderivatives", "noderivs", "no derivatives", "no derivs"), "sa": ("sharealike", "share alike")}
 #: The words of an identifier tag.
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier\s*[:=]?[ \t]*([^\r\n]*)", re.I)
+TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*[:=]?[ \t]*([^\r\n]*)", re.I)
+#: Words before a phrase that deny it.
+DENIED = re.compile(r" not (?:\w+ ){0,3}(?:under|by) (?:(?:the|a|an|any) )?$")
 #: How free the use is that a licence grants; by the start of its label, the first that fits.
-GRANTS = (("reserved", 0.0), ("proprietary", 0.0), ("cc-by-nc", 0.25), ("cc-by-nd", 0.25), ("cc-by-sa", 0.5), ("gpl", 0.5), ("agpl", 0.5), ("lgpl", 0.5), ("gfdl", 0.5), ("mpl", 0.5), ("epl", 0.5), ("", 1.0))
+GRANTS = (("reserved", 0.0), ("proprietary", 0.0), ("cc-by-nc", 0.25), ("cc-by-nd", 0.25), ("cc-by-sa", 0.5), ("gpl", 0.5), ("agpl", 0.5), ("lgpl", 0.5), ("gfdl", 0.5), ("mpl", 0.5), ("epl", 0.5), ("eupl", 0.5), ("odbl", 0.5), ("", 1.0))
 #: The evidence of one tag, and of one label from a phrase.
 TAG_WEIGHT, PHRASE_WEIGHT = 0.9, 0.6
+# Families of licence identifiers, and of the exceptions behind WITH, in lower case.
+IDENTIFIER = re.compile(
+    r"(?:0bsd|afl-[123]\.\d|agpl-[13]\.0|apache-(?:1\.[01]|2\.0)|artistic-[12]\.0|bsd-[1-4]-clause(?:-[a-z-]+)?|bsl-1\.0|cc0-1\.0|cc-by(?:-nc)?(?:-nd|-sa)?-[1-4]\.\d|cddl-1\.[01]|ecl-[12]\.0|epl-[12]\.0|eupl-1\.[012]|"
+    r"gfdl-1\.[123]|gpl-[123]\.0|isc|lgpl-(?:2\.[01]|3\.0)|lppl-1\.3[ac]|mit(?:-0|-[a-z]+)?|mpl-(?:1\.[01]|2\.0)|ms-(?:pl|rl)|ncsa|odbl-1\.0|ofl-1\.1|openssl|osl-[123]\.\d|postgresql|psf-2\.0|python-2\.0|ruby|unicode-3\.0|unlicense|"
+    r"upl-1\.0|vim|w3c|wtfpl|x11|zlib|zpl-2\.[01])(?:-only|-or-later|\+)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
+EXCEPTION = re.compile(r"[a-z0-9.-]*-exception(?:-[a-z0-9.]+)?|llvm-exception")
 
 #: Bytes that are not of a word become spaces, A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -71,7 +86,7 @@ def postfix(expression: str) -> list[str]:
         word = token.lower()
         if want and token == "(":
             waiting.append(token)
-        elif want and word not in _RANK and token != ")":
+        elif want and (EXCEPTION if waiting[-1:] == ["with"] else IDENTIFIER).fullmatch(word):
             out.append(token)
             want = False
         elif not want and token == ")" and "(" in waiting:
@@ -84,8 +99,8 @@ def postfix(expression: str) -> list[str]:
             want = True
         else:
             break
-    if want and waiting and waiting[-1] in _RANK:
-        waiting.pop()
+    while want and waiting and (waiting[-1] == "(" or waiting[-1] in _RANK):  # what waits for the missing operand
+        want = waiting.pop() == "("
     return out + [x for x in reversed(waiting) if x in _RANK]
 
 
@@ -108,10 +123,21 @@ def evaluate(expression: str) -> tuple[set[str], float | None]:
     return set().union(*(s for s, _ in stack)), min(g for _, g in stack)
 
 
+def phrases() -> dict[str, str]:
+    """The phrases of the method and their labels; those of Creative Commons by rule."""
+    out = dict(MORE_PHRASES) | {"creative commons attribution": "cc-by"}
+    for kinds in (("nc",), ("nd",), ("sa",), ("nc", "nd"), ("nc", "sa")):
+        label = "-".join(("cc", "by", *kinds))
+        out[label.replace("-", " ")] = label
+        for spelled in product(*(CONDITIONS[k] for k in kinds)):
+            out[" ".join(("creative commons attribution", *spelled))] = label
+    return out
+
+
 def automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrases, base in ((MORE_PHRASES, False), (BASE_PHRASES, True)):
-        for phrase, label in phrases.items():
+    for found, base in ((phrases(), False), (BASE_PHRASES, True)):
+        for phrase, label in found.items():
             a.add_word(f" {phrase} ", (phrase, label, base))
     a.add_word(f" {TAG} ", (TAG, "", False))
     a.make_automaton()
@@ -121,17 +147,25 @@ def automaton() -> ahocorasick.Automaton:
 def scan(text: str, finder: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, grants, n_tags."""
     found = text.encode().translate(WORD_BYTES).split()
-    joined = b" " + b" ".join(found) + b" "
-    joined = joined.decode()
+    joined = (b" " + b" ".join(found) + b" ").decode()
     places, base, labels, tags = [], set(), set(), 0
+    hits = []
     for end, (phrase, label, is_base) in finder.iter(joined):
+        start = end - len(phrase) - 1
         if is_base:
-            places.append(end - len(phrase) - 1)
+            places.append(start)
             base.add(label)
-        if label:
-            labels.add(label)
-        else:
+        if not label:
             tags += 1
+        hits.append((start, -end, label))
+    hits.sort()
+    reached = -1
+    for start, end, label in hits:
+        if -end > reached:  # not inside a longer one
+            reached = -end
+            if label and not DENIED.search(joined, max(0, start - 60), start + 1):
+                labels.add(label)
+    labels |= base
     grants = [grant(x) for x in labels]
     n_phrases = len(labels)
     if tags:
@@ -140,7 +174,7 @@ def scan(text: str, finder: ahocorasick.Automaton) -> tuple:
             labels |= more
             grants += [] if g is None else [g]
     starts = [joined.count(" ", 0, min(places)), joined.count(" ", 0, max(places))] if places else [None, None]
-    score = 1 - (1 - TAG_WEIGHT) ** min(tags, 20) * (1 - PHRASE_WEIGHT) ** n_phrases
+    score = 1 - (1 - TAG_WEIGHT) ** tags * (1 - PHRASE_WEIGHT) ** n_phrases
     return len(found), len(places), *starts, ",".join(sorted(base)), ",".join(sorted(labels)), score, min(grants, default=None), tags
 
 

@@ -12,6 +12,11 @@ batch however common it is, and the number of ranges grows with the corpus.  Not
 collected or broadcast: only its size and the two numbers of tokens are.  Fewer ``word_bits`` or ``pair_bits`` fold
 words or pairs into that many classes.
 
+The models are matched: the background's counts are scaled to as many tokens as the target has, so that the same prior
+weighs as much in both.  A document is scored by what the others hold: its own counts are taken out of the background,
+and out of the target where it is part of it.  So what only one document says is new to both models, and what another
+one repeats is not.
+
 The loss of a token is ``-log p(word | word before)``, where pair counts are backed by word counts (a Dirichlet prior of
 ``prior`` tokens).  A document's score is its mean loss under the target less that under the background: low is like
 the target.
@@ -157,7 +162,7 @@ def sums(counted: DataFrame) -> DataFrame:
     return counted.groupBy("range").applyInArrow(run, "range int, batch long, n binary, words long, tokens long, target_tokens long")
 
 
-def losses(of_word: np.ndarray, of_context: np.ndarray, of_pair: np.ndarray, tokens: int, n_words: int, prior: float) -> np.ndarray:
+def losses(of_word: np.ndarray, of_context: np.ndarray, of_pair: np.ndarray, tokens: np.ndarray, n_words: int, prior: float) -> np.ndarray:
     """-log p of tokens under one model: counts of their words, contexts and pairs; the model's tokens and words."""
     p1 = (of_word + 0.5) / (tokens + 0.5 * n_words)
     return -np.log((np.minimum(of_pair, of_context) + prior * p1) / (of_context + prior))
@@ -173,6 +178,7 @@ def scores(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, p
     n_words, *tokens = (x or 0 for x in answers.agg(F.sum("words"), F.sum("tokens"), F.sum("target_tokens")).first())
     if word_bits < 63:
         n_words = 1 << word_bits
+    matched = tokens[1] / tokens[0] if tokens[1] else 1.0
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double, score double"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -186,7 +192,16 @@ def scores(docs: DataFrame, target_ids: DataFrame, word_bits: int = WORD_BITS, p
             for c, s, g in zip(corpus, cut, got, strict=True):
                 c[:, s] = g
         row = np.repeat(np.arange(len(n)), n)
-        background, target = (np.bincount(row, losses(*(c[m][of[k][1]] for k, c in enumerate(corpus)), tokens[m], n_words, prior), len(n)) / np.maximum(n, 1) for m in (0, 1))
+        in_target = texts.column("target").fill_null(False).to_numpy(zero_copy_only=False)
+        own = []
+        for found, where, *_ in of:
+            _, at, often = np.unique(row * max(1, len(found)) + where, return_inverse=True, return_counts=True)
+            own.append(often[at])
+        means = []
+        for m, part, scale in ((0, np.ones(len(n)), matched), (1, in_target.astype(float), 1.0)):
+            seen = [(c[m][of[k][1]] - own[k] * part[row]) * scale for k, c in enumerate(corpus)]
+            means.append(np.bincount(row, losses(*seen, ((tokens[m] - n * part) * scale)[row], n_words, prior), len(n)) / np.maximum(n, 1))
+        background, target = means
         columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (target, background, target - background)]
         return pa.Table.from_arrays([texts.column("doc_id"), pa.array(n, pa.int64()), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 

@@ -307,47 +307,58 @@ def test_op5_lm(spark, docs, empty):
         return list(zip(*(x.tolist() for x in lm.token_classes(raw, np.array([0, len(raw)]), 6, 8)[:3]), strict=True))
 
     assert words(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].size == 0
+    want = brute_losses([(i, classes(t)) for i, t in ROWS], {1, 2}, 64)
+    for r in rows:
+        assert r.n_tokens == 0 or any((r.target_loss, r.background_loss) == pytest.approx(w, abs=1e-9) for w in want[r.doc_id])
+        assert r.n_tokens == 0 or r.score == pytest.approx(r.target_loss - r.background_loss)
+    assert lm.scores(empty, target).count() == 0
+
+
+def brute_losses(rows, target, n_words):
+    """id: (target loss, background loss) of each row; rows: (id, (word, context, pair) of each token).  A row's own counts do not count."""
     counts = [[Counter() for _ in range(3)] for _ in range(2)]
-    for i, t in ROWS:
-        for c in classes(t):
-            for m in ([0, 1] if i in (1, 2) else [1]):
+    for i, tokens in rows:
+        for t in tokens:
+            for m in (0, 1) if i in target else (1,):
                 for k in range(3):
-                    counts[m][k][c[k]] += 1
-    by = {r.doc_id: r for r in rows}
-    for i, t in ROWS:
-        if i is not None and ws(t):
-            loss = []
-            for m in range(2):
-                w, ctx, pair = counts[m]
-                total = 0.0
-                for a, b, c in classes(t):
-                    p1 = (w[a] + 0.5) / (sum(w.values()) + 0.5 * 64)
-                    total -= math.log((min(pair[c], ctx[b]) + lm.PRIOR * p1) / (ctx[b] + lm.PRIOR))
-                loss.append(total / len(ws(t)))
-            assert by[i].score == pytest.approx(loss[0] - loss[1], abs=1e-9)
-    assert lm.scores(empty, target).count() == 0
+                    counts[m][k][t[k]] += 1
+    total = [sum(c[0].values()) for c in counts]
+    out = defaultdict(list)
+    for i, tokens in rows:
+        own = [Counter(t[k] for t in tokens) for k in range(3)]
+        loss = []
+        for m, scale in ((0, 1.0), (1, total[0] / total[1] if total[0] else 1.0)):
+            part = 1 if m or i in target else 0
+            seen = lambda k, x: (counts[m][k][x] - part * own[k][x]) * scale  # noqa: B023, E731
+            sum_ = 0.0
+            for w, c, p in tokens:
+                p1 = (seen(0, w) + 0.5) / ((total[m] - part * len(tokens)) * scale + 0.5 * n_words)
+                sum_ -= math.log((min(seen(2, p), seen(1, c)) + lm.PRIOR * p1) / (seen(1, c) + lm.PRIOR))
+            loss.append(sum_ / max(1, len(tokens)))
+        out[i].append(tuple(loss))
+    return out
 
 
 def test_op5_counts_words_and_pairs_exactly(spark):
-    """By words themselves, over more words and pairs than 2**16 and 2**18 classes tell apart."""
+    """By words themselves, over more words and pairs than 2**16 and 2**18 classes tell apart; a text that occurs twice stands out."""
     rows = [(i, " ".join(f"w{(i * 997 + j * j) % 100_003}" for j in range(600)) + " the end") for i in range(600)]
+    rows += [(1000, rows[3][1])]
     target = set(range(0, 600, 7))
     got = lm.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
-    counts = [[Counter() for _ in range(3)] for _ in range(2)]
-    for i, t in rows:
-        w = t.split()
-        for m in ([0, 1] if i in target else [1]):
-            for k, tokens in enumerate((w, [None, *w[:-1]], zip([None, *w[:-1]], w, strict=True))):
-                counts[m][k].update(tokens)
-    assert len(counts[1][0]) > 1 << 16 and len(counts[1][2]) > 1 << 18
-    by = {r.doc_id: r for r in got}
-    for i, t in rows[::50]:
-        w = t.split()
-        loss = []
-        for word, context, pair in counts:
-            p1 = {x: (word[x] + 0.5) / (sum(word.values()) + 0.5 * len(counts[1][0])) for x in set(w)}
-            loss.append(-sum(math.log((pair[b, x] + lm.PRIOR * p1[x]) / (context[b] + lm.PRIOR)) for b, x in zip([None, *w[:-1]], w, strict=True)) / len(w))
-        assert (by[i].target_loss, by[i].background_loss) == pytest.approx(loss, abs=1e-9)
+    tokens = [(i, [(w, c, (c, w)) for c, w in zip([None, *t.split()[:-1]], t.split(), strict=True)]) for i, t in rows]
+    n_words, n_pairs = (len({t[k] for _, ts in tokens for t in ts}) for k in (0, 2))
+    assert n_words > 1 << 16 and n_pairs > 1 << 18
+    want = brute_losses(tokens, target, n_words)
+    for r in got:
+        assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id][0], abs=1e-9)
+    score = {r.doc_id: r.score for r in got}
+    assert min(score[3], score[1000]) > max(x for i, x in score.items() if i not in (3, 1000))
+
+
+def test_op5_clashing_columns(spark, docs):
+    rows = docs.withColumn("target", F.lit("x")).withColumn("batch", F.lit(None).cast("int")).withColumn("size", F.lit(1))
+    ids = spark.createDataFrame([(1, "x")], "doc_id long, target string")
+    assert sorted(map(tuple, lm.scores(rows, ids).collect()), key=repr) == sorted(map(tuple, lm.scores(docs, ids).collect()), key=repr)
 
 
 def brute_repeats(rows):
@@ -405,21 +416,84 @@ def test_op6_null_ids_keep_their_own(spark):
     assert got == {(len(A) * 2, 0), (len(A) * 2, len(A) * 2), (148, 0)}
 
 
-def test_op7_licences(docs, empty):
+def brute_licences(t):
+    """The base fields and the labels of phrases, by comparing lists of words at every place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    base = sorted((p, label) for phrase, label in licences.BASE_PHRASES.items() for p in range(len(w)) if w[p : p + len(phrase.split())] == phrase.split())
+    hits = [(p, p + len(x.split()), label) for x, label in (licences.phrases() | {licences.TAG: ""} | licences.BASE_PHRASES).items() for p in range(len(w)) if w[p : p + len(x.split())] == x.split()]
+    labels = {label for _, label in base}
+    for a, z, label in hits:
+        inside = any(b <= a and z <= y and (b, y) != (a, z) for b, y, _ in hits)
+        if label and not inside and not re.search(r"(?:^| )not (?:\w+ ){0,3}(?:under|by) (?:(?:the|a|an|any) )?$", " ".join(w[max(0, a - 8) : a]) + " "):
+            labels.add(label)
+    return len(w), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted({x for _, x in base})), ",".join(sorted(labels))
+
+
+def test_op7_licences(docs, empty, spark):
     got = {r.doc_id: r for r in licences.licences(docs).collect()}
     r = got[15]
     assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (8, 3, 0, 5, "cc-by,reserved")
     assert (got[4].n_words, got[4].labels, got[4].first_word, got[4].score) == (0, "", None, 0.0)
     assert licences.licences(empty).count() == 0
+    rng = np.random.default_rng(10)
+    bits = [*licences.BASE_PHRASES, *licences.phrases(), "not under the", "not licensed under", "MIT", "CC-BY", "word", "General", "\n", "é", "by", "cc", "all rights", "x1"]
+    rows = [(i, " ".join(str(rng.choice(bits)) for _ in range(int(rng.integers(0, 30))))) for i in range(400)]
+    for r in licences.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == brute_licences(rows[r.doc_id][1])
+        assert 0 <= r.score <= 1
+
+
+def test_op7_labels():
+    f = licences.automaton()
+    labels = lambda t: licences.scan(t, f)[5]
+    assert labels("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode") == "apache-2.0,mit"
+    assert labels("SPDX-License-Identifier: see the LICENSE file") == ""
+    assert labels("SPDX-License-Identifier: MIT AND the rest") == "mit"
+    assert labels("SPDX-License-Identifier:\nhello MIT") == ""
+    assert labels("Creative Commons Attribution-NonCommercial 4.0") == "cc-by-nc"
+    assert labels("under Creative Commons Attribution NonCommercial-ShareAlike") == "cc-by-nc-sa"
+    assert labels("This is not under the MIT license, nor is it free") == ""
+    assert labels("licensed under CC BY-NC-SA 4.0") == "cc-by,cc-by-nc-sa"
+    assert labels("GNU Lesser General Public License version 3") == "gpl,gpl-3.0,lgpl"
+
+
+def brute_expression(tokens):
+    """(labels, grant) by recursive descent: or over and over with over operands and parentheses."""
+
+    def over(k, ops, below):
+        left, k = below(k)
+        while k < len(tokens) and tokens[k].lower() == ops:
+            right, k = below(k + 1)
+            left = (left[0] | right[0], max(left[1], right[1])) if ops == "or" else (left[0] | right[0], min(left[1], right[1])) if ops == "and" else left
+        return left, k
+
+    def one(k):
+        if tokens[k] == "(":
+            got, k = either(k + 1)
+            return got, k + 1
+        return ({tokens[k].lower()}, licences.grant(tokens[k].lower())), k + 1
+
+    either = lambda k: over(k, "or", lambda k: over(k, "and", lambda k: over(k, "with", one)))
+    return either(0)[0]
 
 
 def test_op7_expressions():
-    assert licences.postfix("MIT OR Apache-2.0 AND (BSD-3-Clause WITH x)") == ["MIT", "Apache-2.0", "BSD-3-Clause", "x", "with", "and", "or"]
+    assert licences.postfix("MIT OR Apache-2.0 AND (BSD-3-Clause WITH LLVM-exception)") == ["MIT", "Apache-2.0", "BSD-3-Clause", "LLVM-exception", "with", "and", "or"]
     assert licences.evaluate("GPL-2.0-only WITH Classpath-exception-2.0") == ({"gpl-2.0-only"}, 0.5)
     assert licences.evaluate("(MIT OR") == ({"mit"}, 1.0)
     assert licences.evaluate(") AND") == (set(), None)
-    f = licences.automaton()
-    assert "apache-2.0" in licences.scan("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode", f)[5]
+    rng = np.random.default_rng(11)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            x = [str(rng.choice(["MIT", "GPL-2.0-only", "CC-BY-NC-4.0", "Apache-2.0", "ISC", "LicenseRef-own.1"]))]
+            return [*x, "WITH", "GCC-exception-3.1"] if rng.random() < 0.2 else x
+        x = [*made(depth - 1), str(rng.choice(["OR", "and", "AND", "or"])), *made(depth - 1)]
+        return ["(", *x, ")"] if rng.random() < 0.6 else x
+
+    for _ in range(300):
+        tokens = made(4)
+        assert licences.evaluate(" ".join(tokens)) == brute_expression(tokens), tokens
 
 
 @pytest.mark.parametrize("primes", [exact.PRIMES, (7, 5)])
