@@ -567,12 +567,67 @@ def test_op10_pages(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, f"https://c.example.com/{i}", p) for i, p in enumerate(pages)]
+    return {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
 def test_op10_constants_go_without_an_article(spark):
-    rows = [(i, f"https://c.example.com/{i}", f"<body><div><p>Our standard line</p></div><div><p>Own words {i}</p></div></body>") for i in range(8)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = extracted(spark, [f"<body><div><p>Our standard line</p></div><div><p>Own words {i}</p></div></body>" for i in range(8)])
     assert got == {i: f"Own words {i}" for i in range(8)}
 
 
+def test_op10_slots_by_class(spark):
+    """Without an article or telling names: a menu of changing links and a line of date stand in slots of their own and go,
+    the text stays, also what an optional class opens inside its slot."""
+    menu = lambda i: "".join(f"<span><a href=x>link {i} {k}</a></span>" for k in range(3))
+    quote = lambda i: f"<blockquote>A short remark {i}</blockquote>" if i % 3 else ""
+    page = lambda i: f"<body><div><section>{menu(i)}</section><table><tr><td>day {i}</td></tr></table><dl><dd>Text {i} {'own words ' * 30}</dd>{quote(i)}<dd>more {i}</dd></dl></div></body>"
+    got = extracted(spark, [page(i) for i in range(12)])
+    for i in range(12):
+        assert got[i] == "\n".join([f"Text {i} {'own words ' * 30}".strip(), *([f"A short remark {i}"] if i % 3 else []), f"more {i}"])
+
+
+def test_op10_classes_are_those_of_equal_vectors(spark):
+    """Tokens, pages and classes of hosts against counting page by page; copies of a page count once."""
+    rng = np.random.default_rng(12)
+    pages = []
+    for i in range(40):
+        parts = [x for x, keep in zip(["<nav>menu</nav>", "<p>a</p>", "<p>b</p>", "<h2>c</h2><h3>d</h3>", "<footer>e</footer>"], rng.random(5) < 0.8, strict=True) if keep]
+        pages.append((i, f"https://h{i % 3}.org/", f"<body>{''.join(parts)}<p>own {i // 2 if i % 7 == 0 else i}</p></body>"))
+    pages += [(100 + i, u, p) for i, u, p in pages[:9]]
+    read = html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {}
+    for r in html.classes(read).collect():
+        got[r.host] = {(c.pages, frozenset((t.token, t.is_text) for t in c.tokens)) for c in r.classes}
+    for host in ("h0.org", "h1.org", "h2.org"):
+        distinct = sorted({p for _, u, p in pages if host in u})
+        vector = defaultdict(lambda: [0] * len(distinct))
+        for k, p in enumerate(distinct):
+            blocks, tags = html.read_page(p)
+            for t, x in (*((t, False) for t in tags), *((b[1], True) for b in blocks)):
+                vector[html._signed(t), x][k] += 1
+        by = defaultdict(set)
+        for token, v in vector.items():
+            if 2 * sum(map(bool, v)) >= len(distinct):
+                by[tuple(v)].add(token)
+        assert got[host] == {(sum(map(bool, v)), frozenset(tokens)) for v, tokens in by.items()}
+
+
+def test_op10_marks_inside_an_article(spark):
+    inner = '<p class="notice-board">Board</p><div class="header-image-caption">Caption</div><div class="ad">Buy</div><section id="comments-area"><p>I agree</p></section><aside>Side</aside><p>End</p>'
+    assert extracted(spark, [f"<body><article><h1>T</h1>{inner}</article></body>"]) == {0: "T\nBoard\nCaption\nEnd"}
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p><b>" * 50_000 + "x", "<article>" + "<div>" * 50_000 + "</b></li></p>" * 50_000, "<ul><li>" * 50_000 + "<li>" * 50_000, "<a href='" * 3_000, "&amp;" * 200_000])
+def test_op10_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html.read_page(page)
+    assert time.perf_counter() - began < 10
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
 
