@@ -101,3 +101,38 @@ def normal_path(path: Column) -> Column:
     parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
     folded = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("..")) != ".."), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
     return F.array_join(folded, "/")
+
+
+def memory_title(text: Column) -> Column:
+    """The first sentence, or all of a text without one; beyond 80 characters cut at a word."""
+    plain = F.regexp_replace(F.regexp_replace(text, "^ +| +$", ""), r"\s+", " ")
+    first = F.regexp_extract(plain, r"^(.*?[.!?])( |$)", 1)
+    s = F.when(first == "", plain).otherwise(first)
+    return F.when(F.length(s) <= 80, s).otherwise(F.concat(F.regexp_replace(F.substring(s, 1, 80), " [^ ]*$", ""), F.lit("…")))
+
+
+def display_name(shown: Column, name: Column, slug: Column) -> Column:
+    """What is shown, else the name, else the slug with capitals."""
+    return F.coalesce(F.nullif(shown, F.lit("")), F.nullif(name, F.lit("")), F.initcap(F.regexp_replace(slug, "-", " ")))
+
+
+def good_tag(tag: Column) -> Column:
+    return tag.rlike(r"^[a-z0-9-]+/[a-z0-9._-]+$") & ~tag.rlike("^(status|type)/")
+
+
+def epoch(iso: Column) -> Column:
+    """Seconds of an ISO string; without a zone it is in the session's; what is no date raises an error."""
+    return F.unix_timestamp(F.to_timestamp(iso))
+
+
+def iso_day(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd")
+
+
+def rerank_text(title: Column, heading: Column, text: Column) -> Column:
+    return F.concat_ws("\n", F.concat_ws(" > ", title, heading), text)
+
+
+def updated(path: Column) -> Column:
+    """Whether an update looks at a path."""
+    return path.endswith(".md") & ~path.rlike(r"(^|/)(_archive|\.obsidian)(/|$)")

@@ -16,9 +16,13 @@ def tokens(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """key, term, tf, len: one row for each document and term."""
-    t = docs.select(key, tokens(F.col(text)).alias("t"))
-    return t.select(key, F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
+    """key, term, tf, len: one row for each document and term, counted inside the row: nothing is shuffled."""
+    t = docs.select(key, F.sort_array(tokens(F.col(text))).alias("t"))
+    # In sorted tokens a term stands from where it differs from the one before to where the next one begins.
+    begin = F.filter(F.transform("t", lambda x, i: F.when(F.coalesce(x == F.get(F.col("t"), i - 1), F.lit(False)), None).otherwise(i)), lambda i: i.isNotNull())
+    t = t.select(key, "t", F.size("t").alias("len"), begin.alias("b"))
+    each = F.transform("b", lambda at, k: F.struct(F.get(F.col("t"), at).alias("term"), (F.coalesce(F.get(F.col("b"), k + 1), F.col("len")) - at).cast("long").alias("tf")))
+    return t.select(key, "len", F.explode(each).alias("e")).select(key, "len", "e.term", "e.tf")
 
 
 def query_terms(query: str) -> list[str]:

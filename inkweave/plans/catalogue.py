@@ -11,6 +11,7 @@ from inkweave.functions import scalars as S
 from inkweave.operators import audit as A
 from inkweave.operators import changes as C
 from inkweave.operators import graph as G
+from inkweave.operators import retrieval as R
 from inkweave.operators import text as T
 from inkweave.sources.views import oracle, view
 
@@ -114,16 +115,14 @@ def blockers(g):
     return G.blockers(g.edge)
 
 
-@query("SELECT source_id AS path, edge_type, edge_subtype, target_type, target_id FROM edge WHERE source_type = 'doc' AND source_id = (SELECT min(path) FROM doc)")
+@query("SELECT source_id AS path, edge_type, edge_subtype, target_type, target_id FROM edge WHERE source_type = 'doc'")
 def get_doc_outbound(g):
-    first = g.doc.agg(F.min("path").alias("path"))
-    return g.edge.filter("source_type = 'doc'").join(F.broadcast(first), F.col("source_id") == F.col("path")).select("path", "edge_type", "edge_subtype", "target_type", "target_id")
+    return g.edge.filter("source_type = 'doc'").select(F.col("source_id").alias("path"), "edge_type", "edge_subtype", "target_type", "target_id")
 
 
-@query("SELECT target_id AS path, edge_type, edge_subtype, source_type, source_id FROM edge WHERE target_type = 'doc' AND target_id IN (SELECT path FROM doc WHERE k % 100 = 3)")
+@query("SELECT target_id AS path, edge_type, edge_subtype, source_type, source_id FROM edge WHERE target_type = 'doc' AND target_id IN (SELECT path FROM doc)")
 def get_doc_inbound(g):
-    some = g.doc.filter("k % 100 = 3").select("path")
-    return g.edge.filter("target_type = 'doc'").join(some, F.col("target_id") == F.col("path"), "left_semi").select(F.col("target_id").alias("path"), "edge_type", "edge_subtype", "source_type", "source_id")
+    return g.edge.filter("target_type = 'doc'").join(g.doc.select("path"), F.col("target_id") == F.col("path"), "left_semi").select(F.col("target_id").alias("path"), "edge_type", "edge_subtype", "source_type", "source_id")
 
 
 # Projects, people, decisions
@@ -401,10 +400,10 @@ def knn_cosine(g):
     return T.knn(v.select("vec_id", "embedding"), v.filter("vec_id = 0"), 200)
 
 
-@query("SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (" + DIST.format(q="q.vec_id", w="q.vec_id < 10") + ")) WHERE rank <= 20")
+@query("SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (" + DIST.format(q="q.vec_id", w="q.vec_id % 100 = 0") + ")) WHERE rank <= 5")
 def knn_batch(g):
     v = g.table("embeddings")
-    return T.knn(v.select("vec_id", "embedding"), v.filter("vec_id < 10"), 20)
+    return T.knn(v.select("vec_id", "embedding"), v.filter("vec_id % 100 = 0"), 5)
 
 
 @query("SELECT query_id, vec_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (" + DIST.format(q="q.vec_id", w="q.vec_id % 100 = 0") + ")) WHERE rank <= 20")
@@ -413,13 +412,16 @@ def knn_hundredth(g):
     return T.knn(v, v.filter("vec_id % 100 = 0"), 20)
 
 
-RRF = f"{_bm25_sql(['license', 'under'], False)}, l1 AS (SELECT path, row_number() OVER (ORDER BY score, path) AS rank FROM (SELECT * FROM hit ORDER BY score, path LIMIT 200)), l2 AS (SELECT path, row_number() OVER (ORDER BY size DESC, path) AS rank FROM (SELECT * FROM file ORDER BY size DESC, path LIMIT 200)), fused AS (SELECT path, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1)"
+TERMS = ["license", "under", "the"]
+NEAR = "SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (" + DIST.format(q="q.vec_id", w="{w}") + ")"
+RRF = f"""{_bm25_sql(TERMS, False)}, l1 AS (SELECT path, row_number() OVER (ORDER BY score, path) AS rank FROM (SELECT * FROM hit ORDER BY score, path LIMIT 200)),
+  l2 AS (SELECT path, rank FROM ({NEAR.format(w="q.vec_id = 0")}) JOIN file ON doc_id = vec_id WHERE rank <= 200),
+  fused AS (SELECT path, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1)"""
 
 
 def _fused(g) -> DataFrame:
-    hits = T.bm25(g.file, ["license", "under"]).select("path", F.round("score", 6).alias("score")).orderBy("score", "path").limit(200)
-    long = g.file.select("path", "size").orderBy(F.col("size").desc(), "path").limit(200)
-    return T.rrf(T.ranked(hits, [F.col("score"), F.col("path")]), T.ranked(long, [F.col("size").desc(), F.col("path")]))
+    v = g.table("embeddings")
+    return R.fused(g.file, v, v.filter("vec_id = 0"), TERMS)
 
 
 @query(f"WITH {RRF} SELECT path, score FROM fused")
@@ -427,13 +429,34 @@ def rrf_fuse(g):
     return _fused(g)
 
 
-@query(f"WITH {RRF}, pool AS (SELECT f.path, f.score + least(0.05, 0.1 * pow(0.5, age / 60.0)) AS s, source FROM (SELECT * FROM fused ORDER BY score DESC, path LIMIT 24) f JOIN file USING (path)), top AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, path) AS r FROM pool) SELECT path, source, round(least(s, 1), 6) AS score FROM top WHERE r <= 3 ORDER BY score DESC, path LIMIT 8")
+def _hybrid_sql(allowed: str, cap_by: str) -> str:
+    return f"""WITH {RRF}, allowed AS (SELECT f.path, f.score, source, age, t FROM fused f JOIN file USING (path) JOIN tok USING (path) WHERE {allowed}), pool AS (SELECT path, source, least(1, len(list_intersect(list_distinct(t), ['license', 'under', 'the'])) / 3.0::DOUBLE + least(0.05, 0.1 * pow(0.5, age / 60.0))) AS s FROM (SELECT * FROM allowed ORDER BY score DESC, path LIMIT 24)),
+      top AS (SELECT *, row_number() OVER (PARTITION BY {cap_by} ORDER BY s DESC, path) AS r FROM pool) SELECT path, source, round(s, 6) AS score, (SELECT count(*) FROM allowed) AS candidates FROM top WHERE r <= 3 ORDER BY s DESC, path LIMIT 8"""
+
+
+@query(_hybrid_sql("true", "path"))
 def hybrid_search(g):
+    return R.search(_fused(g), g.file, TERMS)
+
+
+@query(_hybrid_sql("status = 'ok' AND lang <> 'de'", "source"))
+def hybrid_search_filtered(g):
+    return R.search(_fused(g), g.file, TERMS, cap_by="source", allowed=(F.col("status") == "ok") & (F.col("lang") != "de"))
+
+
+@query(f"""WITH near AS (SELECT * FROM ({NEAR.format(w="q.vec_id % 100 = 0")}) WHERE rank <= 6 AND vec_id <> query_id), r AS (SELECT n.query_id, row_number() OVER (PARTITION BY n.query_id ORDER BY n.rank) AS rank, n.distance, a.label = b.label AS ok FROM near n JOIN embeddings a ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.vec_id),
+  e AS (SELECT query_id, min(rank) FILTER (WHERE ok) AS first, min(distance) AS d FROM r WHERE rank <= 5 GROUP BY 1)
+  SELECT count(*) AS queries, round(avg(CASE WHEN first = 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_k, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr,
+  round(avg(CASE WHEN d <= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS accepted, round(median(d), 6) AS median, list_sort(list(d))[95 * (count(*) - 1) // 100 + 1] AS p95 FROM e""")
+def eval_retrieval(g):
     from pyspark.sql import Window
 
-    pool = _fused(g).orderBy(F.col("score").desc(), "path").limit(24).join(g.file.select("path", "source", "age"), "path").withColumn("s", F.col("score") + S.recency(F.col("age")))
-    top = pool.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.col("s").desc(), "path"))).filter("r <= 3")
-    return top.select("path", "source", F.round(F.least("s", F.lit(1.0)), 6).alias("score")).orderBy(F.col("score").desc(), "path").limit(8)
+    v = g.table("embeddings")
+    near = T.knn(v, v.filter("vec_id % 100 = 0"), 6).filter("vec_id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    label = lambda c: v.select(F.col("vec_id").alias(c), F.col("label").alias(f"label_{c}"))
+    # Right answers among the few that were found: a join of all equal labels would be one of all pairs.
+    right = near.select("query_id", "vec_id").join(label("query_id"), "query_id").join(label("vec_id"), "vec_id").filter("label_query_id = label_vec_id").select("query_id", "vec_id")
+    return R.evaluate(near, right, 0.5)
 
 
 @query("SELECT path, source, size FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size DESC, path) AS r FROM file) WHERE r <= 3")
@@ -532,9 +555,9 @@ def link_normalise(g):
 
 @query("SELECT path, i AS ordinal, substr(text, i * 600 + 1, 680) AS chunk FROM (SELECT path, text, unnest(range(0, CAST(ceil(length(text) / 600.0) AS BIGINT))) AS i FROM file)")
 def chunk_fixed(g):
-    n = F.ceil(F.length("text") / 600.0)
-    d = g.file.filter("length(text) > 0").select("path", "text", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("ordinal"))
-    return d.select("path", "ordinal", F.expr("substring(text, cast(ordinal * 600 + 1 as int), 680)").alias("chunk"))
+    from inkweave.functions.chunks import fixed_chunks
+
+    return fixed_chunks(g.file)
 
 
 @query()
@@ -583,3 +606,6 @@ def events_session(g):
 @query("SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY 1")
 def events_sliding(g):
     return g.table("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+from inkweave.plans import more  # noqa: E402, F401  registers further queries

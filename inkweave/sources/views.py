@@ -6,10 +6,13 @@ ghosts, ties and dangling ends, for every query to find something.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkweave.sources.store import stored
+
 TABLES = ("nation", "customer", "supplier", "orders", "lineitem", "events", "documents", "pages")
 
 VIEWS = {
@@ -49,34 +52,41 @@ VIEWS = {
 }
 
 
-def _script(name: str, at) -> str:
-    return "WITH " + ",\n".join(f"{k} AS ({at(v)})" for k, v in VIEWS.items()) + f"\nSELECT * FROM {name}"
+#: Views that are written once; edges by kind, so that a query reads the kinds that it asks for.
+STORED = {"doc": None, "project": None, "edge": "edge_type"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view over the Parquet tables of sf_dir; Catalyst keeps only what it needs."""
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _needed(name)}
-    keep = _closure(name)
-    text = "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items() if k in keep) + f"\nSELECT * FROM {name}"
-    return spark.sql(text, **tables)
+    """A view over the Parquet tables of sf_dir.  The views of STORED are built once for the folder, the others as asked for."""
+    if name in STORED:
+        return stored(spark, sf_dir, name, lambda: _made(spark, sf_dir, name), STORED[name])
+    return _made(spark, sf_dir, name)
+
+
+def _made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    inputs = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _needed(name)}
+    keep, built = _closure(name), {k for k in STORED if k != name}
+    inputs |= {f"stored_{k}": view(spark, sf_dir, k) for k in built & keep}
+    text = "WITH " + ",\n".join(f"{k} AS ({f'SELECT * FROM {{stored_{k}}}' if k in built else v})" for k, v in VIEWS.items() if k in keep) + f"\nSELECT * FROM {name}"
+    return spark.sql(text, **inputs)
 
 
 @cache
 def _closure(name: str) -> frozenset[str]:
-    import re
-
+    """The views that a view reads, itself included; what stored ones read is left out."""
     out, todo = set(), [name]
     while todo:
         x = todo.pop()
         if x in VIEWS and x not in out:
             out.add(x)
-            todo += re.findall(r"(?:FROM|JOIN)\s+(\w+)", VIEWS[x])
+            if x == name or x not in STORED:
+                todo += re.findall(r"(?:FROM|JOIN)\s+(\w+)", VIEWS[x])
     return frozenset(out)
 
 
 @cache
 def _needed(name: str) -> tuple[str, ...]:
-    text = " ".join(VIEWS[k] for k in _closure(name))
+    text = " ".join(VIEWS[k] for k in _closure(name) if k == name or k not in STORED)
     return tuple(t for t in TABLES if f"{{{t}}}" in text)
 
 
