@@ -97,11 +97,20 @@ def left_bytes(at: np.ndarray) -> np.ndarray:
 
 
 def eights(raw: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position on as one big-endian number; behind the end stand zeros."""
-    b = np.concatenate([raw, np.zeros(7, np.uint8)]).astype(np.uint16)
-    two = (b[:-1] << np.uint16(8) | b[1:]).astype(np.uint32)
-    four = (two[:-2] << np.uint32(16) | two[2:]).astype(np.uint64)
-    return four[:-4] << np.uint64(32) | four[4:]
+    """The eight bytes from each position on as one big-endian number, without copying them; behind the end stand zeros."""
+    b = np.concatenate([raw, np.zeros(7, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(b, 8).view(">u8")[:, 0] if len(raw) else np.zeros(0, ">u8")
+
+
+def string_hashes(eight: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int = 64) -> np.ndarray:
+    """A hash of all bytes of each stretch of eight bytes or more."""
+    h, live, k = mix(size.astype(np.uint64)), np.arange(len(start)), 0
+    while len(live):
+        e = eight[start[live] + np.minimum(k, size[live] - 8)].astype(np.uint64)
+        h[live] = mix(h[live] * np.uint64(_BASE) + e)
+        k += 8
+        live = live[size[live] > k]
+    return h & np.uint64(2**bits - 1)
 
 
 def same_runs(proposed: np.ndarray, start: np.ndarray, size: np.ndarray, eight: np.ndarray) -> np.ndarray:
@@ -131,7 +140,7 @@ def least_of_equals(start: np.ndarray, least: np.ndarray, eight: np.ndarray, dep
     last = np.uint64(64 - 8 * (depth % 8)) if depth % 8 else np.uint64(0)
 
     def digit(which: np.ndarray, k: int) -> np.ndarray:
-        d = eight[start[which] + k]
+        d = eight[start[which] + k].astype(np.uint64)
         return d >> last if k + 8 > depth else d
 
     while len(active):
@@ -347,12 +356,6 @@ def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return raw[np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
 
 
-def string_hashes(window: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of ``DEPTH`` to ``2 * DEPTH`` bytes, from the hashes of the windows that cover it."""
-    h, last = window[start], size - DEPTH
-    return mix(mix(h + np.uint64(3) * window[start + last]) + window[start + last // 2] * np.uint64(5) + size.astype(np.uint64))
-
-
 def _second_digits(n: int, bits: int):
     """Runs of windows whose digit is shared, packed by the digit's bucket; those of hot digits window by window."""
 
@@ -369,11 +372,9 @@ def _second_digits(n: int, bits: int):
         touched = np.zeros(len(ids), bool)
         touched[row] = True
         got = []
-        window = np.zeros(len(raw), np.uint64)
         for i, j in pieces(at):
             if not touched[i:j].any():
                 continue
-            window[at[i] : at[j]] = rolling(raw[at[i] : at[j]], DEPTH, bits)
             place, h, first, last = runs(raw[at[i] : at[j]], at[i : j + 1] - at[i], bits)
             good = mark[place + at[i]] > 0
             got.append((place[good] + at[i], h[good], first[good] + at[i], last[good] + at[i]))
@@ -387,11 +388,11 @@ def _second_digits(n: int, bits: int):
         step = np.arange(len(source)) - np.repeat(np.cumsum(each) - each, each)
         start = first[source] + np.where(warm[source], step, 0)
         size = np.where(warm[source], DEPTH, n_windows[source] - 1 + DEPTH)
-        whole = string_hashes(window, start, size)
-        del window
+        eight = eights(raw)
+        whole = string_hashes(eight, start, size, bits)
         dealt = np.where(warm[source], whole, h[source])
         of = np.searchsorted(at, start, side="right") - 1
-        group = same_runs(whole, start, size, eights(raw))
+        group = same_runs(whole, start, size, eight)
         least = np.full(len(group), NO_ID, np.int64)
         np.minimum.at(least, group, ids[of])
         known = ids[of] > least[group]
@@ -423,7 +424,7 @@ def _covered(n: int, bits: int):
             size = size.astype(np.int64)
             start = np.cumsum(size) - size
             eight = eights(raw)
-            same = same_runs(string_hashes(rolling(raw, DEPTH, bits), start, size), start, size, eight)
+            same = same_runs(string_hashes(eight, start, size, bits), start, size, eight)
             of_run = np.full(len(ids), NO_ID, np.int64)
             np.minimum.at(of_run, same, ids)
             later = ids > of_run[same]
