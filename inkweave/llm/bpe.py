@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from inkweave.llm.common import tidy
 
 #: Fixed value: the pattern that cuts a text into pre-tokens in byte-level vocabularies.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pre-tokens remembered by a Python worker, and their total length in bytes; beyond, it starts anew.
-REMEMBERED = 1_000_000
+#: Pre-tokens, and pairs of entries, remembered by a Python worker; beyond, it starts anew.
+REMEMBERED = 300_000
 #: A pre-token longer than this is not remembered.
 LONGEST_REMEMBERED = 32
 #: The same cut in the syntax of re, which is faster; it holds for texts without the characters of ODD, among which are
@@ -151,7 +152,7 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.fits) > 2 * REMEMBERED:
+        if len(self.fits) > REMEMBERED:
             self.fits.clear()
         known = self.known.__getitem__
         if not self.marks or not self.marks.search(text):
@@ -198,7 +199,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             for i in range(len(b)):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 1), pa.array([c.encode(texts[i].as_py() or "")], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -210,7 +211,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in b.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -229,9 +230,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 second.append(hashlib.sha256(c.decode(np.array(ids, np.int64)).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Every column of docs with n_tokens added (as the last stage of a pipeline needs it)."""
-    return docs.join(digests(docs, path).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens")), "doc_id", "left")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

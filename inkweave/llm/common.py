@@ -10,6 +10,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -66,6 +67,23 @@ def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:
     return settle(d.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can; a Python worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run):
+    """run, a function for mapInArrow, that gives its memory back at the end: Python workers outlive their tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def octets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column and the offsets of its rows, without copying; nulls are empty."""
     if column.null_count:

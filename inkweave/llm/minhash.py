@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import NO_ID, keyed, mix, octets, pieces, settle, words
+from inkweave.llm.common import NO_ID, keyed, mix, octets, pieces, settle, tidy, words
 from inkweave.llm.components import components
 
 #: Texts on each side of a tile.
@@ -103,7 +103,7 @@ def _sketch(docs: DataFrame, k: int, rows: int, bands: int, hashes: int) -> Data
                     blobs[x] = flat[y * hashes : (y + 1) * hashes]
                 yield _batch({"_row": b.column("_row").slice(i, j - i), "_id": b.column("_id").slice(i, j - i), "n": pa.array(n, pa.int64()), "fa": pa.array((total[o[1:]] - total[o[:-1]]).view(np.int64)), "fb": pa.array((other[o[1:]] - other[o[:-1]]).view(np.int64)), "keys": keys, "sig": pa.array(blobs, pa.binary())})
 
-    return docs.select("_row", "_id", "text").mapInArrow(run, "_row long, _id long, n long, fa long, fb long, keys array<long>, sig binary")
+    return docs.select("_row", "_id", "text").mapInArrow(tidy(run), "_row long, _id long, n long, fa long, fb long, keys array<long>, sig binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -116,7 +116,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 s, o = shingle_sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], k)
                 yield _batch({"node": b.column("node").slice(i, j - i), "members": pa.array([b.column("sig")[i + x].as_py() + s[o[x] : o[x + 1]].tobytes() for x in range(j - i)], pa.binary())})
 
-    return docs.join(wanted, docs["_row"] == wanted["node"]).select("node", "sig", "text").mapInArrow(run, "node long, members binary")
+    return docs.join(wanted, docs["_row"] == wanted["node"]).select("node", "sig", "text").mapInArrow(tidy(run), "node long, members binary")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hashes: int, least: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, hashes: int, lea
             good = pa.array(good, pa.bool_())
             yield _batch({c: b.column(c).filter(good) for c in ("a", "b")})
 
-    return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def linked_stars(x: list[np.ndarray], y: list[np.ndarray], apart: np.ndarray, percent: int) -> list[tuple[int, int]]:

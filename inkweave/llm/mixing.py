@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import _SPACES, keyed, mix, octets, pieces, settle
+from inkweave.llm.common import _SPACES, keyed, mix, octets, pieces, settle, tidy
 
 #: Words of a block; weights of the sources in the order of their names, repeating; passes over a source.
 BLOCK, WEIGHTS, PASSES = 64, (5.0, 2.0, 1.0), 3
@@ -58,7 +58,7 @@ def sizes(d: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(np.concatenate(n) if n else [], pa.int64())], [*names, "size"])
 
     own = d.select(F.col("doc_id").cast("long"), "_id", "_row", F.xxhash64("text").alias("_tie"), F.col("_all.source").cast("string").alias("source"), "text")
-    return own.mapInArrow(run, "doc_id long, _id long, _row long, _tie long, source string, size long")
+    return own.mapInArrow(tidy(run), "doc_id long, _id long, _row long, _tie long, source string, size long")
 
 
 def with_targets(sources: DataFrame, passes: float = PASSES) -> DataFrame:
@@ -163,9 +163,9 @@ def drawn(plan: DataFrame, seed: int) -> DataFrame:
             key = s * 1_000_003 + (j // n) * 7_919 + seed
             yield pa.RecordBatch.from_arrays([b.column("_s"), b.column("shard"), pa.array(permuted(j % n, n, key)), pa.array((j // n).astype(np.int32))], ["_s", "shard", "block", "pass"])
 
-    counts = ranges.mapInArrow(deal, "_s long, blocks long, shard long, first long, n long")
+    counts = ranges.mapInArrow(tidy(deal), "_s long, blocks long, shard long, first long, n long")
     each = counts.select("_s", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("j"))
-    return each.mapInArrow(take, "_s long, shard long, block long, pass int")
+    return each.mapInArrow(tidy(take), "_s long, shard long, block long, pass int")
 
 
 def _of_source(rows: DataFrame, plan: DataFrame, *columns: str) -> DataFrame:
@@ -229,5 +229,5 @@ def mix_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("_rest")], ["doc_id", "text", "_rest"])
 
     out = joined.select("doc_id", "text", "_rest").schema
-    cut = joined.mapInArrow(run, out)
+    cut = joined.mapInArrow(tidy(run), out)
     return cut.select(*((F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) if c in ("doc_id", "text") else F.col("_rest").getField(c).alias(c)) for c in docs.columns))
