@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkweave.llm.common import NO_ID, keyed, mix, octets, pieces
+from inkweave.llm.common import NO_ID, keyed, mix, octets, pieces, release
 
 DEPTH, DIGIT = 50, 20
 #: Bytes of text for each bucket.
@@ -274,6 +274,8 @@ def _first_digits(n: int, hot: int, bits: int):
                     out += _split(bucket[one], 2, low[one])
                     out += _split(row_bucket(keys[row[warm]], n), 1, keys[row[warm]], place[warm].astype(np.uint32))
                 yield _packed(out)
+                del out, found, row, place, h, order, rows, group
+                release()
 
     return run
 
@@ -287,6 +289,7 @@ def _shared(n: int, hot_all: int):
     """Of each bucket of digits, the places whose digit several documents have, by bucket of rows; hot ones marked."""
 
     def run(group: pa.Table) -> pa.Table:
+        release()  # what the bucket before this one left
         blobs: dict[int, list[bytes]] = {0: [], 1: [], 2: []}
         for k, b in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
             blobs[k].append(b)
@@ -360,6 +363,7 @@ def _second_digits(n: int, bits: int):
     """Runs of windows whose digit is shared, packed by the digit's bucket; those of hot digits window by window."""
 
     def run(key, texts: pa.Table, marks: pa.Table) -> pa.Table:
+        release()  # what the bucket before this one left
         ids, keys, at, raw = _open(texts)
         blobs = marks.column("blob").to_pylist()
         if not len(ids) or not blobs:
@@ -416,6 +420,7 @@ def _covered(n: int, bits: int):
     """Of each bucket of runs, the stretches of bytes whose windows start in a document with a smaller id, by bucket of rows."""
 
     def run(group: pa.Table) -> pa.Table:
+        release()  # what the bucket before this one left
         kinds, blobs = group.column("kind").to_pylist(), group.column("blob").to_pylist()
         out = [part for k, b in zip(kinds, blobs, strict=True) if k == 1 for part in _by_row(*unpack(b))]
         asked = [b for k, b in zip(kinds, blobs, strict=True) if k == 0]
@@ -465,6 +470,7 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _finish(with_bytes: bool):
     def run(key, texts: pa.Table, gone: pa.Table) -> pa.Table:
+        release()  # what the bucket before this one left
         ids, keys, at, raw = _open(texts)
         lose = np.zeros(len(raw) + 1, np.int32)
         blobs = gone.column("blob").to_pylist()
