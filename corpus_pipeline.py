@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix), ("encoding", encode)]
 
-#: The learned list, MinHash and the permutations have no SQL; tests hold each stage against a brute-force version.
+#: The learned list, MinHash and the permutations have no SQL.
 ORACLE_SQL = None
 
 
