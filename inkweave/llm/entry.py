@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": lines.ORACLE_SQL, "op8_exact": exact.ORACLE_SQL}
+    return {"op2_lines": lines.ORACLE_SQL, "op4_minhash": minhash.ORACLE_SQL, "op6_suffix": suffix.ORACLE_SQL, "op8_exact": exact.ORACLE_SQL}

@@ -252,3 +252,22 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: i
     d = keyed(docs, keep=True)
     gone = labelled(d, k, percent, rows, bands, hashes).filter("least._row <> _row").select("_row")
     return d.join(gone, "_row", "left_anti").select(*(F.col("_all").getField(c).alias(c) for c in docs.columns))
+
+
+#: The rows of op4_minhash (3-word shingles, similarity 0.85) by DuckDB: all pairs that share a shingle, and what they reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT r, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda j: w[j:j + 2]) WHEN len(w) > 0 THEN [w] ELSE [] END)) AS g FROM d),
+n AS (SELECT r, len(g)::BIGINT AS n FROM s),
+m AS (SELECT g, min(r) AS c FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT c AS r, unnest(g) AS x FROM m),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT c, c FROM m UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+root AS (SELECT a AS c, min(b) AS root FROM reach GROUP BY a),
+placed AS (SELECT s.r, root FROM s JOIN m USING (g) JOIN root USING (c)),
+least AS (SELECT root, min(doc_id) AS first, arg_min(r, (coalesce(doc_id, 9223372036854775807), r)) AS stay FROM placed JOIN d USING (r) GROUP BY root),
+o AS (SELECT doc_id, n, CASE WHEN root IS NULL THEN doc_id ELSE first END AS component_id, root IS NULL OR r = stay AS stays FROM d JOIN n USING (r) LEFT JOIN placed USING (r) LEFT JOIN least USING (root))
+SELECT doc_id, n AS n_shingles, component_id, CASE WHEN component_id IS NULL THEN stays ELSE coalesce(doc_id = component_id, false) END AS kept, stays FROM o
+"""

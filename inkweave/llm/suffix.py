@@ -506,3 +506,18 @@ def remove_repeats(docs: DataFrame, hot: int = HOT, hot_all: int = HOT_ALL, buck
     gone = asked.groupBy("bucket").applyInArrow(_covered(n, bits), _PACKED)
     out = d.mapInArrow(_texts(n), _PACKED).groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(_finish(with_bytes), _RESULT)
     return out if with_bytes else out.drop("kept")
+
+
+#: The same rows by DuckDB: bytes as pairs of hexadecimal digits, cut into overlapping stretches before windows are taken of them.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS i, hex(encode(coalesce(text, ''))) AS h FROM documents),
+cut AS (SELECT r, i, b, substr(h, 2 * b + 1, 2 * (512 + 49)) AS s FROM (SELECT r, i, h, unnest(range(0, greatest(length(h) // 2 - 49, 0), 512)) AS b FROM d)),
+g AS (SELECT r, i, b + p AS p, substr(s, 2 * p + 1, 100) AS s FROM (SELECT r, i, b, s, unnest(range(0, length(s) // 2 - 49)) AS p FROM cut)),
+f AS (SELECT s, min(i) AS first FROM g GROUP BY s HAVING min(i) < max(i)),
+c AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS q FROM g JOIN f USING (s) WHERE i > first),
+n AS (SELECT r, p, sum(CASE WHEN q IS NULL OR p > q + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY p) AS run FROM c),
+x AS (SELECT r, run, min(p) AS a, max(p) + 50 AS z FROM n GROUP BY r, run),
+k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM x),
+t AS (SELECT d.r, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS before, max(z) AS last, sum(z - a) AS removed, count(*) AS spans FROM k JOIN d ON d.r = k.r GROUP BY d.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(before, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (r)
+"""

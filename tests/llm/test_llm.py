@@ -651,3 +651,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert seen[2] == set(range(40))
     assert seen[3] <= seen[2]
     assert Counter(r.doc_id for r in p.run(spark, str(tmp_path)).collect()).keys() == seen[3]
+
+
+@pytest.mark.parametrize("name", ["op4_minhash", "op6_suffix"])
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    from inkweave.llm import entry
+
+    folder = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    got = entry.queries()[name](spark, folder)
+    want = c.execute(entry.oracle_sql()[name]).df()[got.columns]
+    assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
+
+
+def test_sql_of_awkward_rows(docs):
+    import duckdb
+
+    c = duckdb.connect()
+    documents = docs.select("doc_id", "text").toPandas().astype({"doc_id": "Int64"})
+    c.register("documents", documents)
+    for sql, got in ((minhash.ORACLE_SQL, minhash.near_duplicates(docs, k=3, percent=85, rows=4, bands=20)), (suffix.ORACLE_SQL, suffix.remove_repeats(docs))):
+        assert Counter(c.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()) == Counter(map(tuple, got.collect()))
