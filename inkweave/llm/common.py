@@ -38,21 +38,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared checkpoint folder as Parquet and returns the reader of it.
-
-    It cuts lineage, so nothing above is computed twice, and it survives lost executors since every executor can read
-    the folder.  The folder is ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/inkweave-checkpoints"
-    path = f"{base.rstrip('/')}/inkweave-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes a frame to the shared folder as Parquet and returns the reader of it.
+
+    It cuts lineage, so nothing above is computed twice, and it survives lost executors since every executor can read
+    the folder.
+    """
+    path = f"{shared_folder(df.sparkSession)}/inkweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def keyed(docs: DataFrame, keep: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkweave.llm import bpe, exact, html, licences, lines, lm, minhash, mixing, rules, suffix
+from inkweave.llm import alignment, bpe, exact, html, licences, lines, lm, minhash, mixing, rules, sharding, suffix, whitening
 from inkweave.llm.common import table
 
 
@@ -60,6 +60,21 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of every document in two vocabularies."""
+    return alignment.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     import corpus_pipeline
@@ -68,9 +83,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_rules, op2_lines, op3_mixing, op4_minhash, op5_lm, op6_suffix, op7_licences, op8_exact, op9_bpe, op10_html, pipeline)
+    ops = (op1_rules, op2_lines, op3_mixing, op4_minhash, op5_lm, op6_suffix, op7_licences, op8_exact, op9_bpe, op10_html, op11_shards, op12_alignment, op13_whitening, pipeline)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_lines": lines.ORACLE_SQL, "op4_minhash": minhash.ORACLE_SQL, "op6_suffix": suffix.ORACLE_SQL, "op8_exact": exact.ORACLE_SQL}
+    return {"op2_lines": lines.ORACLE_SQL, "op4_minhash": minhash.ORACLE_SQL, "op6_suffix": suffix.ORACLE_SQL, "op8_exact": exact.ORACLE_SQL, "op11_shards": sharding.ORACLE_SQL}
