@@ -32,22 +32,24 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.llm.bpe import _visible_bytes, default_path
-from inkweave.llm.common import settle, shared_folder, tidy
+from inkweave.llm.common import octets, settle, shared_folder, tidy
 
 #: Fixed value: the pattern that cuts a text into pre-tokens in byte-level vocabularies.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters encoded at once, about.
 PART = 1 << 17
 #: Links that a task gathers before it counts them, and distinct ones that it holds before it hands them on.
-GATHERED, HELD = 1 << 22, 1 << 22
+GATHERED, HELD = 1 << 20, 1 << 21
 CUT = re.compile(r"(?<=\w) (?=\w)")
 
 ALIGNED = "doc_id long, _row long, a array<int>, b array<int>, a_sizes array<int>, b_sizes array<int>, groups_sha256 string"
+LINKED = "doc_id long, _row long, n_a long, n_b long, links binary, groups_sha256 string"
 
 
 def piece_path() -> str:
@@ -81,6 +83,11 @@ class Aligned:
     b_sizes: np.ndarray
     written: bytes  # the groups, each with its semicolon
 
+    def links(self) -> np.ndarray:
+        """The key of each group's last tokens."""
+        a, b = (ids[np.cumsum(sizes) - 1] for ids, sizes in ((self.a, self.a_sizes), (self.b, self.b_sizes)))
+        return b << 32 | a
+
 
 class Aligner:
     """Two vocabularies, their tokens' bytes, and their tokens' ids as text with what may follow them."""
@@ -162,66 +169,81 @@ def parts_of(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def _blocks(texts: list[str]):
-    """(first row, end row) of runs of rows of about PART characters."""
+def _blocks(lengths: np.ndarray):
+    """(first row, end row) of runs of rows of about PART bytes."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > PART:
+    for i, n in enumerate(lengths.tolist()):
+        if size and size + n > PART:
             yield first, i
             first, size = i, 0
-        size += len(t)
-    if first < len(texts):
-        yield first, len(texts)
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    """rows: (doc_id, _row, Aligned or None, digest or None)."""
-    lists = lambda name: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(getattr(r[2], name)) if r[2] else 0 for r in rows])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *(getattr(r[2], name) for r in rows if r[2])]).astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *map(lists, ("a", "b", "a_sizes", "b_sizes")), pa.array([r[3] for r in rows], pa.string())], ["doc_id", "_row", "a", "b", "a_sizes", "b_sizes", "groups_sha256"])
+        size += n
+    if first < len(lengths):
+        yield first, len(lengths)
+
+
+def _aligned(batches, tool: Aligner):
+    """Lists of (doc_id, _row, alignment or None, digest or None) for batches with text, doc_id and _row."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+        for first, end in _blocks(lengths):
+            texts, ids, keys = (c.slice(first, end - first).to_pylist() for c in batch.columns)
+            if len(texts) == 1 and texts[0] and len(texts[0]) > PART:
+                found = []
+                for part in parts_of(texts[0]):
+                    if (got := tool.align([part])[0]) is None:
+                        found = []
+                        break
+                    found.append(got)
+                digest = hashlib.sha256()
+                for k, part in enumerate(found):
+                    digest.update(part.written if k + 1 < len(found) else part.written[:-1])
+                    yield [(ids[0], keys[0], part, digest.hexdigest() if k + 1 == len(found) else None)]
+                if not found:
+                    yield [(ids[0], keys[0], None, "")]
+                continue
+            full = [i for i, t in enumerate(texts) if t]
+            got = dict(zip(full, tool.align([texts[i] for i in full]), strict=True)) if full else {}
+            yield [(ids[i], keys[i], x := got.get(i), hashlib.sha256(x.written[:-1]).hexdigest() if x else "") for i in range(len(texts))]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("_row", F.monotonically_increasing_id())
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
-    """doc_id, _row, a, b (ids), a_sizes, b_sizes (tokens of each group), groups_sha256: written once.
+    """doc_id, _row, a, b (ids), a_sizes, b_sizes (tokens of each group), groups_sha256.
 
-    A row of docs, which has its own ``_row``, is one row here for each part of its text, in order; the last one has the
-    digest of all groups.
+    A row of docs, which has a ``_row`` of its own, is one row here for each part of its text, in order; the last one has
+    the digest of all groups.
     """
     a_path, b_path = a_path or default_path(), b_path or piece_path()
+    names = ("a", "b", "a_sizes", "b_sizes")
 
     def run(batches):
-        tool = aligner(a_path, b_path)
-        for batch in batches:
-            texts, ids, keys = ([x or "" for x in batch.column(0).to_pylist()], batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            for first, end in _blocks(texts):
-                if end == first + 1 and len(texts[first]) > PART:
-                    found = []
-                    for part in parts_of(texts[first]):
-                        if (got := tool.align([part])[0]) is None:
-                            found = []
-                            break
-                        found.append(got)
-                    digest = hashlib.sha256()
-                    for k, part in enumerate(found):
-                        digest.update(part.written if k + 1 < len(found) else part.written[:-1])
-                        yield _rows([(ids[first], keys[first], part, digest.hexdigest() if k + 1 == len(found) else None)])
-                    if not found:
-                        yield _rows([(ids[first], keys[first], None, "")])
-                    continue
-                full = [i for i in range(first, end) if texts[i]]
-                got = dict(zip(full, tool.align([texts[i] for i in full]), strict=True)) if full else {}
-                yield _rows([(ids[i], keys[i], x := got.get(i), hashlib.sha256(x.written[:-1]).hexdigest() if x else "") for i in range(first, end)])
-
-    own = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).withColumn("_row", F.monotonically_increasing_id())
-    return settle(own.mapInArrow(tidy(run), ALIGNED))
+        for rows in _aligned(batches, aligner(a_path, b_path)):
+            lists = [pa.array([getattr(x, c).tolist() if x else [] for _, _, x, _ in rows], pa.list_(pa.int32())) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *lists, pa.array([r[3] for r in rows], pa.string())], ["doc_id", "_row", *names, "groups_sha256"])
+
+    return _numbered(docs).mapInArrow(tidy(run), ALIGNED)
+
+
+def linked(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+    """doc_id, _row, n_a, n_b, links (keys, eight bytes each), groups_sha256 for the same rows as ``align``: written once."""
+    a_path, b_path = a_path or default_path(), b_path or piece_path()
+
+    def run(batches):
+        for rows in _aligned(batches, aligner(a_path, b_path)):
+            ids, keys, n_a, n_b = (pa.array(v, pa.int64()) for v in ([r[0] for r in rows], [r[1] for r in rows], *([len(getattr(r[2], c)) if r[2] else 0 for r in rows] for c in "ab")))
+            links = pa.array([r[2].links().tobytes() if r[2] else b"" for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, keys, n_a, n_b, links, pa.array([r[3] for r in rows], pa.string())], ["doc_id", "_row", "n_a", "n_b", "links", "groups_sha256"])
+
+    return settle(_numbered(docs).mapInArrow(tidy(run), LINKED))
 
 
 def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The keys of all links of the rows, and how many each row has."""
-    last = {}
-    for name in "ab":
-        ids, sizes = batch.column(name), batch.column(f"{name}_sizes")
-        last[name] = ids.flatten().to_numpy(zero_copy_only=False)[np.cumsum(sizes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)) - 1].astype(np.int64)
-    return last["b"] << 32 | last["a"], np.diff(batch.column("a_sizes").offsets.to_numpy())
+    raw, at = octets(batch.column("links"))
+    return np.frombuffer(raw, np.int64), np.diff(at) // 8
 
 
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,7 +254,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def pair_counts(aligned: DataFrame) -> DataFrame:
+def pair_counts(rows: DataFrame) -> DataFrame:
     """key, n: links with each key that a task has seen; a key has a row for each task or more."""
 
     def run(batches):
@@ -243,7 +265,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
             fresh, times = np.unique(np.concatenate(waiting), return_counts=True) if waiting else (keys[:0], counts[:0])
             return _summed(np.concatenate([keys, fresh]), np.concatenate([counts, times.astype(np.int64)]))
 
-        def rows():
+        def counted():
             for i in range(0, len(keys), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000]), pa.array(counts[i : i + 100_000])], ["key", "n"])
 
@@ -255,12 +277,12 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
                 keys, counts = settled()
                 waiting, size = [], 0
                 if len(keys) > HELD:
-                    yield from rows()
+                    yield from counted()
                     keys = counts = np.zeros(0, np.int64)
         keys, counts = settled()
-        yield from rows()
+        yield from counted()
 
-    return aligned.select("a", "b", "a_sizes", "b_sizes").mapInArrow(tidy(run), "key long, n long")
+    return rows.select("links").mapInArrow(tidy(run), "key long, n long")
 
 
 @dataclass
@@ -349,8 +371,8 @@ def count_table(partial: DataFrame) -> CountTable:
 
 def digests(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each row of docs."""
-    aligned = align(docs, a_path, b_path)
-    table = count_table(pair_counts(aligned))
+    rows = linked(docs, a_path, b_path)
+    table = count_table(pair_counts(rows))
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
     def run(batches):
@@ -361,9 +383,8 @@ def digests(docs: DataFrame, a_path: str | None = None, b_path: str | None = Non
             upto = lambda v: np.concatenate([[0], np.cumsum(v)])
             end = upto(links)
             own = lambda v: np.diff(upto(v)[end])
-            n_a, n_b = (np.diff(batch.column(c).offsets.to_numpy()) for c in "ab")
-            columns = [pa.array(np.asarray(v, np.int64)) for v in (n_a, n_b, links, links, own(best), own(counts))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), *columns, batch.column("groups_sha256")], ["doc_id", "_row", *names, "groups_sha256"])
+            columns = [pa.array(np.asarray(v, np.int64)) for v in (links, links, own(best), own(counts))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "_row", "n_a", "n_b")), *columns, batch.column("groups_sha256")], ["doc_id", "_row", *names, "groups_sha256"])
 
-    parts = aligned.mapInArrow(tidy(run), f"doc_id long, _row long, {', '.join(f'{c} long' for c in names)}, groups_sha256 string")
+    parts = rows.mapInArrow(tidy(run), f"doc_id long, _row long, {', '.join(f'{c} long' for c in names)}, groups_sha256 string")
     return parts.groupBy("_row", "doc_id").agg(*(F.sum(c).alias(c) for c in names), F.max("groups_sha256").alias("groups_sha256")).drop("_row")
