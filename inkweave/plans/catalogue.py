@@ -11,8 +11,10 @@ from inkweave.functions import scalars as S
 from inkweave.operators import audit as A
 from inkweave.operators import changes as C
 from inkweave.operators import graph as G
+from inkweave.operators import inverted as I
 from inkweave.operators import retrieval as R
 from inkweave.operators import text as T
+from inkweave.sources.store import folder
 from inkweave.sources.views import oracle, view
 
 AS_OF = "1998-12-01"
@@ -34,6 +36,17 @@ class Graph:
         """Documents with effective status."""
         return G.effective_status(self.doc, self.project, self.edge)
 
+    @property
+    def index(self) -> I.Index:
+        """The index of all files with language and source as title, built by the first query of a session that asks for it."""
+        index = I.Index(self.spark, folder(self.spark, self.sf_dir, "index"), ["title", "text"])
+        return index if index.version() else index.upsert(self.file.withColumn("title", F.concat_ws(" ", "lang", "source")))
+
+    def hits(self, *words: str, every: bool = False) -> DataFrame:
+        """path, score of the files whose text has some, or every, word."""
+        units = [I.word(w) for w in words]
+        return (self.index.search(every=units, fields=["text"]) if every else self.index.search(some=units, fields=["text"])).select("path", F.round("score", 6).alias("score"))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -369,24 +382,24 @@ def _bm25_sql(terms: list[str], every: bool) -> str:
 
 @query(f"WITH {_bm25_sql(['license', 'reserved', 'under'], False)} SELECT path, score FROM hit ORDER BY score, path LIMIT 50")
 def bm25_or(g):
-    return T.bm25(g.file, ["license", "reserved", "under"]).select("path", F.round("score", 6).alias("score")).orderBy("score", "path").limit(50)
+    return g.hits("license", "reserved", "under").orderBy("score", "path").limit(50)
 
 
 @query(f"WITH {_bm25_sql(['the', 'of', 'and'], True)} SELECT path, score FROM hit ORDER BY score, path LIMIT 50")
 def bm25_and(g):
-    return T.bm25(g.file, ["the", "of", "and"], every=True).select("path", F.round("score", 6).alias("score")).orderBy("score", "path").limit(50)
+    return g.hits("the", "of", "and", every=True).orderBy("score", "path").limit(50)
 
 
 @query(f"WITH {_bm25_sql(['license', 'the'], False)} SELECT h.path, h.score FROM hit h JOIN file f USING (path) WHERE h.path ILIKE 'EN/%' AND f.status = 'ok' ORDER BY score, path LIMIT 20")
 def search_docs_filtered(g):
-    hits = T.bm25(g.file, T.query_terms("the license a")[::-1])
+    hits = g.hits(*T.query_terms("the license a")[::-1])
     ok = g.file.filter("status = 'ok'").select("path")
-    return hits.filter(G.like_prefix(F.col("path"), "EN/")).join(ok, "path", "left_semi").select("path", F.round("score", 6).alias("score")).orderBy("score", "path").limit(20)
+    return hits.filter(G.like_prefix(F.col("path"), "EN/")).join(ok, "path", "left_semi").orderBy("score", "path").limit(20)
 
 
 @query(f"WITH {TOK} SELECT path FROM tok WHERE contains(concat(' ', array_to_string(t, ' '), ' '), ' all rights reserved ')")
 def search_docs_phrase(g):
-    return T.phrase(g.file, ["all", "rights", "reserved"])
+    return g.index.search(every=[I.phrase("all", "rights", "reserved")], fields=["text"]).select("path")
 
 
 # Vectors and fusion
@@ -576,7 +589,7 @@ def doc_tokens(g):
 def recall(g):
     from pyspark.sql import Window
 
-    hits = T.bm25(g.file, ["the", "of"]).filter(F.col("path").startswith("en/")).select("path", F.round("score", 6).alias("score")).join(g.file.select("path", "source"), "path")
+    hits = g.hits("the", "of").filter(F.col("path").startswith("en/")).join(g.file.select("path", "source"), "path")
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("score", "path"))).filter("r = 1").select("path", "source", "score").orderBy("score", "path").limit(3)
 
 
@@ -608,4 +621,4 @@ def events_sliding(g):
     return g.table("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-from inkweave.plans import more  # noqa: E402, F401  registers further queries
+from inkweave.plans import more, search  # noqa: E402, F401  register further queries

@@ -39,6 +39,14 @@ def stored(spark: SparkSession, source: str, name: str, make: Callable[[], DataF
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
+def folder(spark: SparkSession, source: str, name: str) -> str:
+    """A folder of this session for a derived structure of a source folder; empty when it is first asked for."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _paths:
+        _paths[key] = f"{_base(spark)}/inkweave-store-{uuid.uuid4().hex}", None
+    return _paths[key][0]
+
+
 def forget(source: str) -> None:
     """The tables of a source folder are built anew when they are next asked for."""
     for key in [k for k in _paths if k[1] == source]:
