@@ -136,3 +136,11 @@ def rerank_text(title: Column, heading: Column, text: Column) -> Column:
 def updated(path: Column) -> Column:
     """Whether an update looks at a path."""
     return path.endswith(".md") & ~path.rlike(r"(^|/)(_archive|\.obsidian)(/|$)")
+
+
+def entity_of(path: Column, prefixes: dict[str, str]) -> Column:
+    """The entity whose path prefix a path begins with, the longest one first; null for none."""
+    out = F.lit(None).cast("string")
+    for prefix in sorted(prefixes, key=len):
+        out = F.when(path.startswith(prefix), prefixes[prefix]).otherwise(out)
+    return out

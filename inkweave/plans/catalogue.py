@@ -621,4 +621,4 @@ def events_sliding(g):
     return g.table("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-from inkweave.plans import more, search  # noqa: E402, F401  register further queries
+from inkweave.plans import maintained, more, search  # noqa: E402, F401  register further queries

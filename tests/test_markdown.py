@@ -36,4 +36,25 @@ def test_corpus(spark, tmp_path):
     decisions = {r.id: (r.parse_status, list(r.missing)) for r in markdown.decisions(parsed).collect()}
     assert decisions == {"2026-01-02-pick-a-name": ("ok", []), "2026-01-03-another-one": ("format_drift", ["Alternatives considered", "Source / context", "Why"])}
     people = spark.createDataFrame([("jane-doe", "Jane Doe"), ("jane", "Jane Roe")], "slug string, display_name string")
-    assert [tuple(r) for r in markdown.mentions(parsed, people).collect()] == [("a/hub.md", "jane-doe")]
+    assert [(r.path, r.slug, r.context.strip()) for r in markdown.mentions(parsed, people).collect()] == [("a/hub.md", "jane-doe", 'part "t") and [web](https://x.example). Jane Doe was here.')]
+
+
+def test_mentions_equal_every_pattern_over_every_body(spark):
+    """Names with signs, names inside names, words that touch, other letters; the context is that of the last place."""
+    import re
+
+    names = {"ob": "Pat O'Brien", "b": "O'Brien", "u": "Ümit Öz", "j": "J. R. Smith", "s": "Smith", "x": "Mary-Ann Lee", "none": "!!", "dup": "Smith", "null": None}
+    bodies = {
+        "a": "PAT O'BRIEN met o'brien's friend. Pat  O'Brien no.", "b": "ümit öz and j. r. smith; blacksmith Smithy _Smith_ smith.", "c": "Mary-Ann Lee, Mary Ann Lee\nMary-Ann\nLee", "d": "", "e": None,
+        "f": "word " * 20_000 + "Smith " + "tail " * 30,
+    }
+    want = {}
+    for p, body in bodies.items():
+        for slug, name in names.items():
+            if body and name and re.search(r"\w", name):
+                for m in re.finditer(r"\b" + re.escape(name) + r"\b", body, re.IGNORECASE):
+                    want[p, slug] = body[max(0, m.start() - 40) : m.end() + 40].replace("\n", " ")[:120]
+    parsed = spark.createDataFrame(list(bodies.items()), "path string, body string").repartition(3)
+    people = spark.createDataFrame(list(names.items()), "slug string, display_name string")
+    assert {(r.path, r.slug): r.context for r in markdown.mentions(parsed, people).collect()} == want
+    assert markdown.mentions(parsed, people.limit(0)).count() == 0
