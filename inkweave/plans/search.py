@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweave.operators import inverted as I
+from inkweave.operators.chunkstore import Chunks
 from inkweave.operators.text import tokens
 from inkweave.plans.catalogue import query
 from inkweave.sources.store import folder
@@ -110,3 +111,63 @@ def index_upsert(g):
         index.upsert(g.file.filter("doc_id % 100 = 3").withColumn("text", F.concat(F.lit("replaced words here "), "text")), g.file.filter("doc_id % 100 = 5"))
     n, (total,) = index.counts()
     return index.postings().select("path", "term", "tf", F.get("lengths", 0).alias("len"), F.lit(n).cast("long").alias("n"), F.lit(total).cast("long").alias("total"))
+
+
+# Chunks and hybrid search
+
+CHUNK = "ch AS (SELECT concat(path, '#', i) AS id, path, i AS ordinal, substr(text, i * 600 + 1, 680) AS text FROM (SELECT path, text, unnest(range(0, CAST(ceil(length(text) / 600.0) AS BIGINT))) AS i FROM file))"
+HYBRID = f"""{CHUNK}, ct AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM ch), q AS (SELECT doc_id AS query_id, list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 12) AS t FROM file WHERE doc_id % 100 = 0),
+    cw AS (SELECT id, w, count(*) AS tf FROM (SELECT id, unnest(t) AS w FROM ct) GROUP BY 1, 2), qw AS (SELECT query_id, w, count(*) AS tf FROM (SELECT query_id, unnest(t) AS w FROM q) GROUP BY 1, 2),
+    ck AS (SELECT id, CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % 64 AS k, sum(tf)::DOUBLE AS n FROM cw GROUP BY 1, 2), qk AS (SELECT query_id, CAST(concat('0x', substr(md5(w), 1, 8)) AS BIGINT) % 64 AS k, sum(tf)::DOUBLE AS n FROM qw GROUP BY 1, 2),
+    cz AS (SELECT id, sqrt(sum(n * n)) AS z FROM ck GROUP BY 1), qz AS (SELECT query_id, sqrt(sum(n * n)) AS z FROM qk GROUP BY 1),
+    dist AS (SELECT query_id, id, round(1 - sum(ck.n * qk.n) / (any_value(cz.z) * any_value(qz.z)), 6) AS d FROM ck JOIN qk USING (k) JOIN cz USING (id) JOIN qz USING (query_id) GROUP BY 1, 2),
+    l0 AS (SELECT query_id, id, 0 AS leg, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM dist),
+    len AS (SELECT id, len(t) AS len FROM ct), fig AS (SELECT count(*) AS n, avg(len) AS mean FROM len), df AS (SELECT w, count(*) AS df FROM cw GROUP BY 1),
+    sc AS (SELECT query_id, id, round(sum(-greatest(ln((fig.n - df + 0.5) / (df + 0.5)), 1e-6) * cw.tf * 2.2 / (cw.tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS s FROM qw JOIN cw USING (w) JOIN df USING (w) JOIN len USING (id), fig GROUP BY 1, 2),
+    l1 AS (SELECT query_id, id, 1 AS leg, row_number() OVER (PARTITION BY query_id ORDER BY s, id) AS rank FROM sc),
+    l AS (SELECT query_id, id, path, source AS title, age, leg, row_number() OVER (PARTITION BY query_id, leg ORDER BY rank) AS rank FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1) JOIN ch USING (id) JOIN file f USING (path) WHERE rank <= 200 AND {{allowed}}),
+    fu AS (SELECT query_id, id, any_value(path) AS path, any_value(title) AS title, any_value(age) AS age, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS fused, coalesce(min(rank) FILTER (WHERE leg = 0), 1 << 30) AS v, coalesce(min(rank) FILTER (WHERE leg = 1), 1 << 30) AS w FROM l GROUP BY 1, 2),
+    pl AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS candidates, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, v, w, id) AS first FROM fu),
+    sr AS (SELECT p.query_id, p.path, ordinal, candidates, first, least(1.0::DOUBLE, len(list_intersect(list_distinct(regexp_extract_all(lower(concat(title, chr(10), ch.text)), '[a-z0-9]+')), list_distinct(q.t)))::DOUBLE / greatest(len(list_distinct(q.t)), 1) + least(0.05, 0.1 * pow(0.5, age / 60.0))) AS s FROM pl p JOIN ch USING (id) JOIN q USING (query_id) WHERE first <= 24),
+    cp AS (SELECT *, row_number() OVER (PARTITION BY query_id, path ORDER BY s DESC, first) AS of_file FROM sr), tp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, first) AS place FROM cp WHERE of_file <= 3)
+    SELECT query_id, path, ordinal, round(s, 4) AS score, place, candidates FROM tp WHERE place <= 8"""
+
+
+def _stretches(text):
+    """The chunks of functions.chunks.fixed_chunks as an array."""
+    n = F.ceil(F.length(text) / 600).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(text, i * 600 + 1, F.lit(680)))).otherwise(F.array().cast("array<string>"))
+
+
+def _chunks(g):
+    store = Chunks(g.spark, folder(g.spark, g.sf_dir, "chunks"), _stretches)
+    return store if store.latest().version else store.update(g.file)
+
+
+def _answers(g, allowed=None):
+    q = g.file.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 12), " ").alias("text"))
+    files = g.file.withColumn("title", F.col("source")).drop("text")
+    return _chunks(g).search(q, files, allowed).drop("text")
+
+
+@query("WITH " + HYBRID.format(allowed="true"))
+def hybrid_questions(g):
+    """Hybrid search over chunks: the first words of every document whose id is divisible by 100, against all chunks, in one job."""
+    return _answers(g)
+
+
+@query("WITH " + HYBRID.format(allowed="f.status = 'ok' AND f.lang <> 'de'"))
+def hybrid_questions_allowed(g):
+    """The same where ranks count allowed files only."""
+    return _answers(g, (F.col("status") == "ok") & (F.col("lang") != "de"))
+
+
+@query(f"WITH {CHUNK.replace('FROM file)', 'FROM (SELECT path, CASE WHEN doc_id % 100 = 7 THEN substr(text, 1, 1000) ELSE text END AS text FROM file WHERE doc_id % 100 <> 9))')} SELECT path, ordinal, text FROM ch")
+def chunk_replace(g):
+    """The chunk table after a hundredth of the files is cut short and another goes: that of a new build."""
+    store = Chunks(g.spark, folder(g.spark, g.sf_dir, "chunk_replace"), _stretches, buckets=16)
+    if not store.latest().version:
+        store.update(g.file)
+    if store.latest().version == 1:
+        store.update(g.file.filter("doc_id % 100 = 7").withColumn("text", F.substring("text", 1, 1000)), g.file.filter("doc_id % 100 = 9"))
+    return store.chunks().select("path", "ordinal", "text")
