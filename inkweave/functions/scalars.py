@@ -70,6 +70,12 @@ def digit_runs(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(text, F.lit(r"([0-9]+)"), F.lit(1)), lambda x: F.length(x).between(13, 19))
 
 
+def identifiers(text: Column) -> Column:
+    """Social security numbers, and card numbers: 13 to 19 digits, also with a space or hyphen after each, that pass the Luhn check."""
+    cards = F.regexp_extract_all(text, F.lit(r"((?<!\d)(?:\d[ -]?){12,18}\d(?!\d))"), F.lit(1))
+    return F.concat(F.regexp_extract_all(text, F.lit(r"((?<!\d)\d{3}-\d{2}-\d{4}(?!\d))"), F.lit(1)), F.filter(cards, lambda c: luhn_valid(F.regexp_replace(c, r"\D", ""))))
+
+
 def substantial(value: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9A-Za-z]", "")) >= 6
 

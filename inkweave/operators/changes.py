@@ -58,14 +58,29 @@ def latest_dates(log: DataFrame) -> DataFrame:
     return log.groupBy("path").agg(F.max("ts").alias("latest"))
 
 
-def sync_action(found_size: Column, found_md5: Column, size: Column, md5: Column, status: Column, retry_errors: bool = False) -> Column:
-    """What a sync does with a file: add, skip, touch, update, retry or delete (null: no row on that side)."""
-    failed = status.isin("error", "skipped")
-    return F.when(found_size.isNull(), "delete").when(size.isNull(), "add").when(size != found_size, F.when(md5 == found_md5, "touch").otherwise("update")).when(failed & F.lit(retry_errors), "retry").otherwise("skip")
-
+def sync_action(here: Column, indexed: Column, same_stat: Column, same_md5: Column, status: Column, retry_errors: bool = False, scan: Column | None = None) -> Column:
+    """What a sync does with a file: add, skip, touch, update, retry or delete.
 
-def plan_sync(found: DataFrame, index: DataFrame, retry_errors: bool = False) -> DataFrame:
-    """path, action.  found: path, size, md5; index: path, size, md5, status."""
-    f, i = found.alias("f"), index.alias("i")
-    j = f.join(i, F.col("f.path") == F.col("i.path"), "full")
-    return j.select(F.coalesce("f.path", "i.path").alias("path"), sync_action(F.col("f.size"), F.col("f.md5"), F.col("i.size"), F.col("i.md5"), F.col("i.status"), retry_errors).alias("action"))
+    Equal size and time of change: nothing, but for a failed file that is to be tried again and one that still has to be
+    scanned for personal data (``scan``).  Otherwise equal contents of a file in order are only touched; a failed file is
+    extracted anew even if they are equal.
+    """
+    failed = status.isin("error", "skipped")
+    scan = F.coalesce(scan & ~failed, F.lit(False)) if scan is not None else F.lit(False)
+    stale = F.when(failed & F.lit(retry_errors), "retry").when(scan, "update").otherwise("skip")
+    return F.when(~here, "delete").when(~indexed, "add").when(same_stat, stale).when(F.coalesce(same_md5, F.lit(False)) & ~failed & ~scan, "touch").otherwise("update")
+
+
+def plan_sync(found: DataFrame, index: DataFrame, content: DataFrame, retry_errors: bool = False, pii: bool = False) -> DataFrame:
+    """path, action.  found: path, size, mtime; index: path, size, mtime, md5, status, scanned; content: path, text.
+
+    Contents are read and hashed for the files whose size or time differs, no others.
+    """
+    f = found.select("path", F.col("size").alias("f_size"), F.col("mtime").alias("f_mtime"), F.lit(True).alias("_f"))
+    i = index.select("path", "size", "mtime", "md5", "status", "scanned", F.lit(True).alias("_i"))
+    j = f.join(i, "path", "full").withColumn("same", (F.col("size") == F.col("f_size")) & (F.col("mtime") == F.col("f_mtime")))
+    changed = j.filter("_f and _i and not same").select("path")
+    now = content.join(changed, "path", "left_semi").select("path", F.md5(F.col("text").cast("binary")).alias("now"))
+    here, indexed = F.coalesce("_f", F.lit(False)), F.coalesce("_i", F.lit(False))
+    action = sync_action(here, indexed, F.col("same"), F.col("md5") == F.col("now"), F.coalesce("status", F.lit("")), retry_errors, ~F.col("scanned") if pii else None)
+    return j.join(now, "path", "left").select("path", action.alias("action"))

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The formats of headings and of fences.
-HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+HEADING = r"^(#{1,6})\s+(.+?)\s*#*\s*$"
 FENCE = r"^\s*(```|~~~)"
+FRONT = r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)"
 
 
 def lines_of(docs: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """key, i, line, level and title of headings (null elsewhere); running sums over one document's lines find the fences."""
+    """key, i, line, level and title of headings (null elsewhere), without a block of front matter and without closing marks;
+    running sums over one document's lines find the fences."""
     at = Window.partitionBy(key).orderBy("i")
-    d = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
+    d = docs.select(key, F.posexplode(F.split(F.regexp_replace(text, FRONT, ""), "\n")).alias("i", "line"))
     d = d.withColumn("fence", F.col("line").rlike(FENCE)).withColumn("inside", F.sum(F.col("fence").cast("int")).over(at) % 2 == 1)
     heading = ~F.col("fence") & ~F.col("inside") & F.col("line").rlike(HEADING)
     return d.select(key, "i", "line", F.when(heading, F.length(F.regexp_extract("line", HEADING, 1))).alias("level"), F.when(heading, F.regexp_extract("line", HEADING, 2)).alias("title"))

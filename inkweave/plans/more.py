@@ -81,13 +81,14 @@ def entity_majority_first_seen(g):
 # Sections
 
 
-MD = "md AS (SELECT path, concat('before', chr(10), '# ', lang, chr(10), 'intro', chr(10), '```', chr(10), '# no heading', chr(10), '```', chr(10), '## ', source, chr(10), text, chr(10), '### deep', chr(10), 'x', chr(10), '# last') AS text FROM file)"
+MD = "md AS (SELECT path, concat('before', chr(10), '# ', lang, chr(10), 'intro', chr(10), '```', chr(10), '# no heading', chr(10), '```', chr(10), '## ', source, ' ##', chr(10), text, chr(10), '### deep', chr(10), 'x', chr(10), '# last') AS text FROM file)"
 MD_LINES = MD + r""", l0 AS (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM md), l1 AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence FROM l0), l2 AS (SELECT *, sum(fence::INT) OVER (PARTITION BY path ORDER BY i) % 2 = 1 AS inside FROM l1),
-    l3 AS (SELECT path, i, line, CASE WHEN NOT fence AND NOT inside AND regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') THEN length(regexp_extract(line, '^(#{1,6})\s+(.+?)\s*$', 1)) END AS level, CASE WHEN NOT fence AND NOT inside AND regexp_matches(line, '^#{1,6}\s+(.+?)\s*$') THEN regexp_extract(line, '^(#{1,6})\s+(.+?)\s*$', 2) END AS title FROM l2)"""
+    l3 AS (SELECT path, i, line, CASE WHEN NOT fence AND NOT inside AND regexp_matches(line, '^#{1,6}\s+(.+?)\s*#*\s*$') THEN length(regexp_extract(line, '^(#{1,6})\s+(.+?)\s*#*\s*$', 1)) END AS level, CASE WHEN NOT fence AND NOT inside AND regexp_matches(line, '^#{1,6}\s+(.+?)\s*#*\s*$') THEN regexp_extract(line, '^(#{1,6})\s+(.+?)\s*#*\s*$', 2) END AS title FROM l2)"""
 
 
 def _markdown(g):
-    parts = (F.lit("before\n# "), "lang", F.lit("\nintro\n```\n# no heading\n```\n## "), "source", F.lit("\n"), "text", F.lit("\n### deep\nx\n# last"))
+    # The front matter and the closing marks are not in the SQL: sections are without them.
+    parts = (F.lit("---\ntags: [a/b]\n---\nbefore\n# "), "lang", F.lit("  #\nintro\n```\n# no heading\n```\n## "), "source", F.lit(" ##\n"), "text", F.lit("\n### deep\nx\n# last"))
     return g.file.select("path", F.concat(*parts).alias("text"))
 
 
