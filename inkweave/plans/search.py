@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from inkweave.operators import inverted as I
 from inkweave.operators.chunkstore import Chunks
+from inkweave.operators import text as T
 from inkweave.operators.text import tokens
+from inkweave.operators.vectorindex import VectorIndex, recall
 from inkweave.plans.catalogue import query
 from inkweave.sources.store import folder
 
@@ -139,7 +141,8 @@ def _stretches(text):
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(text, i * 600 + 1, F.lit(680)))).otherwise(F.array().cast("array<string>"))
 
 
-def _chunks(g):
+def chunk_store(g) -> Chunks:
+    """The chunks of all files, built by the first query of a session that asks for them."""
     store = Chunks(g.spark, folder(g.spark, g.sf_dir, "chunks"), _stretches)
     return store if store.latest().version else store.update(g.file)
 
@@ -147,7 +150,7 @@ def _chunks(g):
 def _answers(g, allowed=None):
     q = g.file.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 12), " ").alias("text"))
     files = g.file.withColumn("title", F.col("source")).drop("text")
-    return _chunks(g).search(q, files, allowed).drop("text")
+    return chunk_store(g).search(q, files, allowed).drop("text")
 
 
 @query("WITH " + HYBRID.format(allowed="true"))
@@ -171,3 +174,27 @@ def chunk_replace(g):
     if store.latest().version == 1:
         store.update(g.file.filter("doc_id % 100 = 7").withColumn("text", F.substring("text", 1, 1000)), g.file.filter("doc_id % 100 = 9"))
     return store.chunks().select("path", "ordinal", "text")
+
+
+# An approximate vector index
+
+#: Clusters, and clusters that a query looks into: most of them, since the given vectors have hardly any clusters.
+CLUSTERS, PROBES = 24, 19
+
+
+def _vector_index(g):
+    return VectorIndex.build(g.table("embeddings"), f"{folder(g.spark, g.sf_dir, 'vectors')}/by_cluster", CLUSTERS)
+
+
+@query()
+def knn_index(g):
+    """The ten nearest vectors, about, of every vector whose id is divisible by 100, from the index over all vectors."""
+    return _vector_index(g).search(g.table("embeddings").filter("vec_id % 100 = 0"), 10, PROBES)
+
+
+@query("SELECT count(*) AS queries, true AS good FROM embeddings WHERE vec_id % 100 = 0")
+def knn_index_recall(g):
+    """Whether the index finds nine tenths or more of what the exact search over all vectors finds."""
+    v = g.table("embeddings")
+    asked = v.filter("vec_id % 100 = 0")
+    return recall(_vector_index(g).search(asked, 10, PROBES), T.knn(v, asked, 10)).select("queries", (F.col("recall") >= 0.9).alias("good"))

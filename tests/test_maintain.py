@@ -55,7 +55,7 @@ def state(graph):
 
 @pytest.fixture(scope="module")
 def whole(spark, tmp_path_factory):
-    return maintain.apply_log(spark, str(tmp_path_factory.mktemp("m")), *frames(spark, 17), ENTITIES)
+    return maintain.apply_log(spark, str(tmp_path_factory.mktemp("m")), *frames(spark, 17), ENTITIES, buckets=4)
 
 
 def test_what_it_holds(whole):
@@ -71,22 +71,22 @@ def test_what_it_holds(whole):
 @pytest.mark.parametrize("cuts", [[6, 9, 17], [1, 7, 10, 13, 14, 17]])
 def test_any_split_equals_one_run(spark, tmp_path, whole, cuts):
     for upto in cuts:
-        graph = maintain.apply_log(spark, f"{tmp_path}/g", *frames(spark, upto), ENTITIES)
+        graph = maintain.apply_log(spark, f"{tmp_path}/g", *frames(spark, upto), ENTITIES, buckets=4)
     assert state(graph) == state(whole)
-    assert maintain.apply_log(spark, f"{tmp_path}/g", *frames(spark, 17), ENTITIES).version.version == graph.version.version
+    assert maintain.apply_log(spark, f"{tmp_path}/g", *frames(spark, 17), ENTITIES, buckets=4).version.version == graph.version.version
 
 
 def test_links_break_and_mend_without_their_files(spark, tmp_path):
     broken = {}
     for upto in (3, 6, 9):
-        graph = maintain.apply_log(spark, f"{tmp_path}/g", *frames(spark, upto), ENTITIES)
+        graph = maintain.apply_log(spark, f"{tmp_path}/g", *frames(spark, upto), ENTITIES, buckets=4)
         broken[upto] = {(r.source_doc, r.link_target) for r in graph.broken_link.collect()}
     assert broken == {3: {("acme/hub.md", "../pic.png"), ("acme/leaf.md", "gone.md")}, 6: set(), 9: {("memory/decisions-log.md", "../acme/hub.md"), ("memory/decisions-log.md", "../acme/gone.md")}}
 
 
 def test_a_broken_run_changes_nothing(spark, tmp_path, whole, monkeypatch):
     root = f"{tmp_path}/g"
-    before = state(maintain.apply_log(spark, root, *frames(spark, 6), ENTITIES))
+    before = state(maintain.apply_log(spark, root, *frames(spark, 6), ENTITIES, buckets=4))
     for name in ("commit", "replace"):
         calls = []
         with monkeypatch.context() as m:
@@ -100,14 +100,14 @@ def test_a_broken_run_changes_nothing(spark, tmp_path, whole, monkeypatch):
 
             m.setattr(Snapshot, name, fail)
             with pytest.raises(RuntimeError):
-                maintain.apply_log(spark, root, *frames(spark, 17), ENTITIES)
+                maintain.apply_log(spark, root, *frames(spark, 17), ENTITIES, buckets=4)
         assert state(maintain.Graph.latest(spark, root)) == before
-    assert state(maintain.apply_log(spark, root, *frames(spark, 17), ENTITIES)) == state(whole)
+    assert state(maintain.apply_log(spark, root, *frames(spark, 17), ENTITIES, buckets=4)) == state(whole)
 
 
 def test_a_subset_run_deletes_nothing(spark, tmp_path):
     root = f"{tmp_path}/g"
-    maintain.apply_log(spark, root, *frames(spark, 8), ENTITIES)
+    maintain.apply_log(spark, root, *frames(spark, 8), ENTITIES, buckets=4)
     graph = maintain.apply_log(spark, root, *frames(spark, 14), ENTITIES, only=F.col("path").startswith("home/") | (F.col("path") == "acme/gone.md"))
     assert {r.path for r in graph.doc.collect()} >= {"home/a.md", "home/b.md", "home/c.md", "acme/gone.md"} and graph.version.facts["applied"] == 8
 
