@@ -443,24 +443,25 @@ def knn_hundredth(g):
 
 TERMS = ["license", "under", "the"]
 NEAR = "SELECT query_id, vec_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM (" + DIST.format(q="q.vec_id", w="{w}") + ")"
-RRF = f"""{_bm25_sql(TERMS, False)}, l1 AS (SELECT path, row_number() OVER (ORDER BY score, path) AS rank FROM (SELECT * FROM hit ORDER BY score, path LIMIT 200)),
-  l2 AS (SELECT path, rank FROM ({NEAR.format(w="q.vec_id = 0")}) JOIN file ON doc_id = vec_id WHERE rank <= 200),
+RRF = f"""{_bm25_sql(TERMS, False)}, k1 AS (SELECT path, row_number() OVER (ORDER BY score, path) AS rank FROM (SELECT * FROM hit ORDER BY score, path LIMIT 200)),
+  k2 AS (SELECT path, rank FROM ({NEAR.format(w="q.vec_id = 0")}) JOIN file ON doc_id = vec_id WHERE rank <= 200),
+  l1 AS (SELECT path, row_number() OVER (ORDER BY rank) AS rank FROM k1 JOIN file USING (path) WHERE {{allowed}}), l2 AS (SELECT path, row_number() OVER (ORDER BY rank) AS rank FROM k2 JOIN file USING (path) WHERE {{allowed}}),
   fused AS (SELECT path, round(sum(1.0::DOUBLE / (60 + rank)), 10) AS score FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2) GROUP BY 1)"""
 
 
-def _fused(g) -> DataFrame:
+def _fused(g, allowed=None) -> DataFrame:
     v = g.table("embeddings")
-    return R.fused(g.file, v, v.filter("vec_id = 0"), TERMS)
+    return R.fused(g.file, v, v.filter("vec_id = 0"), g.hits(*TERMS), allowed=allowed)
 
 
-@query(f"WITH {RRF} SELECT path, score FROM fused")
+@query("WITH " + RRF.format(allowed="true") + " SELECT path, score FROM fused")
 def rrf_fuse(g):
     return _fused(g)
 
 
 def _hybrid_sql(allowed: str, cap_by: str) -> str:
-    return f"""WITH {RRF}, allowed AS (SELECT f.path, f.score, source, age, t FROM fused f JOIN file USING (path) JOIN tok USING (path) WHERE {allowed}), pool AS (SELECT path, source, least(1, len(list_intersect(list_distinct(t), ['license', 'under', 'the'])) / 3.0::DOUBLE + least(0.05, 0.1 * pow(0.5, age / 60.0))) AS s FROM (SELECT * FROM allowed ORDER BY score DESC, path LIMIT 24)),
-      top AS (SELECT *, row_number() OVER (PARTITION BY {cap_by} ORDER BY s DESC, path) AS r FROM pool) SELECT path, source, round(s, 6) AS score, (SELECT count(*) FROM allowed) AS candidates FROM top WHERE r <= 3 ORDER BY s DESC, path LIMIT 8"""
+    return f"""WITH {RRF.format(allowed=allowed)}, pool AS (SELECT path, source, least(1, len(list_intersect(list_distinct(t), ['license', 'under', 'the'])) / 3.0::DOUBLE + least(0.05, 0.1 * pow(0.5, age / 60.0))) AS s FROM (SELECT * FROM fused ORDER BY score DESC, path LIMIT 24) JOIN file USING (path) JOIN tok USING (path)),
+      top AS (SELECT *, row_number() OVER (PARTITION BY {cap_by} ORDER BY s DESC, path) AS r FROM pool) SELECT path, source, round(s, 6) AS score, (SELECT count(*) FROM fused) AS candidates FROM top WHERE r <= 3 ORDER BY s DESC, path LIMIT 8"""
 
 
 @query(_hybrid_sql("true", "path"))
@@ -470,7 +471,8 @@ def hybrid_search(g):
 
 @query(_hybrid_sql("status = 'ok' AND lang <> 'de'", "source"))
 def hybrid_search_filtered(g):
-    return R.search(_fused(g), g.file, TERMS, cap_by="source", allowed=(F.col("status") == "ok") & (F.col("lang") != "de"))
+    """Ranks count allowed files only."""
+    return R.search(_fused(g, (F.col("status") == "ok") & (F.col("lang") != "de")), g.file, TERMS, cap_by="source")
 
 
 @query(f"""WITH near AS (SELECT * FROM ({NEAR.format(w="q.vec_id % 100 = 0")}) WHERE rank <= 6 AND vec_id <> query_id), r AS (SELECT n.query_id, row_number() OVER (PARTITION BY n.query_id ORDER BY n.rank) AS rank, n.distance, a.label = b.label AS ok FROM near n JOIN embeddings a ON a.vec_id = n.query_id JOIN embeddings b ON b.vec_id = n.vec_id),

@@ -25,11 +25,15 @@ def test_postings_count_inside_the_row(spark):
 def test_fusion_has_both_legs(spark):
     files = spark.createDataFrame([("a", 1, "apple pie", "s", 0), ("b", 2, "plum tart", "s", 0), ("c", 3, "apple apple", "s", 400)], "path string, doc_id long, text string, source string, age long")
     v = spark.createDataFrame([(0, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
-    got = {r.path: r.score for r in R.fused(files, v, v.filter("vec_id = 0"), ["apple"], 3).collect()}
+    hits = T.bm25(files, ["apple"]).select("path", F.round("score", 6).alias("score"))
+    got = {r.path: r.score for r in R.fused(files, v, v.filter("vec_id = 0"), hits, 3).collect()}
     # A term that most files have weighs next to nothing, so a and c tie by BM25 and the path decides.
     assert got == {"a": round(1 / 61, 10), "b": round(1 / 62, 10), "c": round(1 / 62 + 1 / 63, 10)}
-    hits = R.search(R.fused(files, v, v.filter("vec_id = 0"), ["apple"], 3), files, ["apple"], cap_by="source", per_source=2, allowed=F.col("path") != "b").collect()
-    assert [(r.path, r.candidates) for r in hits] == [("a", 2), ("c", 2)]
+    # Among the allowed, c is the first by its vector and the second by its words.
+    only = R.fused(files, v, v.filter("vec_id = 0"), hits, 3, allowed=F.col("path") != "b")
+    assert {r.path: r.score for r in only.collect()} == {"a": round(1 / 61, 10), "c": round(1 / 61 + 1 / 62, 10)}
+    found = R.search(only, files, ["apple"], cap_by="source", per_source=2).collect()
+    assert [(r.path, r.candidates) for r in found] == [("a", 2), ("c", 2)]
 
 
 def test_evaluation(spark):
