@@ -77,13 +77,29 @@ def identifiers(text: Column) -> Column:
 
 
 def substantial(value: Column) -> Column:
-    return F.length(F.regexp_replace(value, "[^0-9A-Za-z]", "")) >= 6
+    return F.length(alnum(value)) >= 6
+
+
+def alnum(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9A-Za-z]", "")
 
 
 def mask(text: Column, values: Column) -> Column:
-    """Each value replaced as a whole token, longest first, by ``[pii …last4]``."""
-    longest = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(longest, text, lambda acc, v: F.regexp_replace(acc, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), v, F.lit(r"\E(?![A-Za-z0-9])")), F.concat(F.lit("[pii …"), F.right(F.regexp_replace(v, "[^0-9A-Za-z]", ""), F.lit(4)), F.lit("]"))))
+    """Each value replaced as a whole token by ``[pii …last4]``, all of them in one pass, the longest first.
+
+    The values that the text has become one pattern; what it finds, from left to right, is replaced, and what was put in is
+    not looked at again.  A value that ends in an ASCII letter or digit must not go on with one.  Values with fewer than six
+    letters and digits are left alone, null values too; no values: the text; a null text: null.
+    """
+    there = F.filter(F.array_distinct(values), lambda v: v.isNotNull() & substantial(v) & text.contains(v))
+    longest = F.array_sort(there, lambda a, b: F.length(b) - F.length(a))
+    edge = lambda v, at, look: F.when(v.rlike(at), F.lit(look)).otherwise(F.lit(""))
+    quoted = F.transform(longest, lambda v: F.concat(edge(v, "^[0-9A-Za-z]", "(?<![0-9A-Za-z])"), F.regexp_replace(v, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), edge(v, "[0-9A-Za-z]$", "(?![0-9A-Za-z])")))
+    # Without values the pattern is one that matches nowhere.
+    pattern = F.concat(F.lit("("), F.when(F.size(quoted) > 0, F.array_join(quoted, "|")).otherwise(F.lit("(?!)")), F.lit(")"))
+    found = F.regexp_extract_all(text, pattern, F.lit(1))
+    put = F.transform(found, lambda v: F.concat(F.lit("[pii …"), F.right(alnum(v), F.lit(4)), F.lit("]")))
+    return F.when(F.size(there) > 0, F.array_join(F.zip_with(F.split(text, pattern, -1), put, lambda t, m: F.concat(t, F.coalesce(m, F.lit("")))), "")).otherwise(text)
 
 
 def recency(age_days: Column) -> Column:

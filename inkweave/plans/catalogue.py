@@ -537,18 +537,6 @@ def pii_substance_gate(g):
     return g.table("supplier").select(F.col("s_name").alias("value"), S.substantial(F.col("s_name")).alias("good"))
 
 
-@query()
-def pii_identifiers(g):
-    """Social security and card numbers, also with spaces and hyphens (SQL here has no lookaround; tested against patterns)."""
-    return g.file.select("path", F.explode(S.identifiers(F.col("text"))).alias("value"))
-
-
-@query()
-def pii_mask(g):
-    values = F.concat(S.emails(F.col("text")), S.digit_runs(F.col("text")), S.identifiers(F.col("text")))
-    return g.file.select("path", S.mask(F.col("text"), F.filter(F.array_distinct(values), S.substantial)).alias("text"))
-
-
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
 def page_links(g):
     return g.table("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
@@ -646,4 +634,4 @@ def events_sliding(g):
     return g.table("events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-from inkweave.plans import maintained, more, search  # noqa: E402, F401  register further queries
+from inkweave.plans import maintained, more, pii, search  # noqa: E402, F401  register further queries
