@@ -606,15 +606,6 @@ def recall(g):
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("score", "path"))).filter("r = 1").select("path", "source", "score").orderBy("score", "path").limit(3)
 
 
-@query()
-def snippet(g):
-    t = T.tokens(F.col("text"))
-    at = F.array_position("t", "license").cast("int")
-    d = g.file.select("path", t.alias("t")).filter(F.array_contains("t", "license"))
-    cut = F.slice("t", F.greatest(at - 4, F.lit(1)), F.lit(10))
-    return d.select("path", F.array_join(F.transform(cut, lambda w: F.when(w == "license", F.concat(F.lit("["), w, F.lit("]"))).otherwise(w)), " ").alias("snippet"))
-
-
 # Event windows: an extension, the batch form of streaming/feed.py
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkweave.operators import inverted as I
 from inkweave.operators.chunkstore import Chunks
 from inkweave.operators import text as T
+from inkweave.operators.snippets import snippets
 from inkweave.operators.text import tokens
 from inkweave.operators.vectorindex import VectorIndex, recall
 from inkweave.plans.catalogue import query
@@ -100,6 +101,24 @@ def search_questions_allowed(g):
     return g.index.best(questions(g), 10, g.file.filter("status = 'ok'"))
 
 
+LOOKED_FOR = ("license", "version", "under", "permission")
+SNIPPET = r"""wd AS (SELECT path, text, regexp_extract_all(text, '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*') AS w, string_split_regex(text, '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*') AS g FROM file),
+    tk AS (SELECT path, i, len(w) AS n, strip_accents(lower(w[i])) AS t, i = 1 OR regexp_matches(g[i], '[.:][ \t\n\r]+$') AS s FROM (SELECT path, w, g, unnest(range(1, len(w) + 1)) AS i FROM wd)),
+    sn0 AS (SELECT *, max(CASE WHEN s THEN i END) OVER (PARTITION BY path ORDER BY i) AS st FROM tk), h AS (SELECT * FROM sn0 WHERE t IN ({words})),
+    c AS (SELECT path, n, i AS io, 0 AS kind, i AS p FROM h UNION ALL SELECT path, n, min(i), 1, st FROM h WHERE st < i AND n > 10 GROUP BY path, n, st),
+    sc AS (SELECT c.path, c.n, io, kind, p, 999 * count(DISTINCT t) + count(*) + CASE WHEN kind = 0 THEN 0 WHEN p = 1 THEN 120 ELSE 100 END AS score, max(h.i) AS last FROM c JOIN h ON h.path = c.path AND h.i BETWEEN p AND p + 9 GROUP BY c.path, c.n, io, kind, p),
+    bs AS (SELECT path, CASE WHEN kind = 1 THEN p ELSE greatest(1, least(p - (10 - (last + 1 - p)) // 2, n - 9)) END AS b FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, io, kind) AS r FROM sc) WHERE r = 1),
+    sh AS (SELECT path, w, g, coalesce(b, 1) AS b, least(coalesce(b, 1) + 9, len(w)) AS e FROM wd LEFT JOIN bs USING (path)),
+    sn AS (SELECT path, CASE WHEN len(w) = 0 THEN g[1] ELSE concat(CASE WHEN b > 1 THEN '...' ELSE g[1] END,
+      array_to_string([CASE WHEN j > b THEN g[j] ELSE '' END || CASE WHEN strip_accents(lower(w[j])) IN ({words}) THEN '[' || w[j] || ']' ELSE w[j] END FOR j IN range(b, e + 1)], ''), CASE WHEN e < len(w) THEN '...' ELSE g[len(w) + 1] END) END AS snippet FROM sh)""".replace("{words}", ", ".join(f"'{w}'" for w in LOOKED_FOR))
+
+
+@query(f"WITH {SNIPPET} SELECT path, snippet FROM sn")
+def snippet(g):
+    """The best stretch of every text for several words."""
+    return snippets(g.file, [I.word(w) for w in LOOKED_FOR])
+
+
 CHANGED = "c AS (SELECT path, CASE WHEN doc_id % 100 = 3 THEN concat('replaced words here ', text) ELSE text END AS text FROM file WHERE doc_id % 100 <> 5)"
 
 
