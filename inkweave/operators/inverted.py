@@ -17,11 +17,13 @@ the places of all); terms that no document has match nothing.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkweave.functions.porter import with_stems
 from inkweave.operators.text import K1, B, tokens
 from inkweave.sources.snapshot import Snapshot
 
@@ -58,9 +60,9 @@ def near(a: str, b: str, gap: int = 10) -> Unit:
     return Unit("near", (a, b), gap)
 
 
-def positional(docs: DataFrame, fields: list[str]) -> DataFrame:
+def positional(docs: DataFrame, fields: list[str], cut: Callable[[Column], Column] = tokens) -> DataFrame:
     """path, term, tf, places, lengths (tokens of each field) of each document and term; nothing is shuffled."""
-    marked = [F.transform(tokens(F.coalesce(F.col(f), F.lit(""))), _placed(k)) for k, f in enumerate(fields)]
+    marked = [F.transform(cut(F.coalesce(F.col(f), F.lit(""))), _placed(k)) for k, f in enumerate(fields)]
     d = docs.filter("path is not null").select("path", F.sort_array(F.concat(*marked)).alias("s"))
     of_field = lambda k: F.size(F.filter("s", lambda e: (e["p"] >= k * FIELD) & (e["p"] < (k + 1) * FIELD))).cast("long")
     begin = F.filter(F.transform("s", lambda e, i: F.when(F.coalesce(e["t"] == F.get(F.col("s"), i - 1)["t"], F.lit(False)), None).otherwise(i)), lambda i: i.isNotNull())
@@ -80,10 +82,14 @@ def _moved(by: int):
 
 
 class Index:
-    """The index under ``root``; every method sees the newest version."""
+    """The index under ``root``; every method sees the newest version.
 
-    def __init__(self, spark: SparkSession, root: str, fields: list[str] = ("text",), parts: int = PARTS) -> None:
-        self.spark, self.root, self.fields, self.parts = spark, root, list(fields), parts
+    cut: a text column to its tokens.  stemmed: whether ``best`` can also search by stems.  Then a table of stems is kept,
+    one row for each distinct term, by a hash of the stem; postings stay those of the terms, and a stem's are its terms'.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fields: list[str] = ("text",), parts: int = PARTS, cut: Callable[[Column], Column] = tokens, stemmed: bool = False) -> None:
+        self.spark, self.root, self.fields, self.parts, self.cut, self.stemmed = spark, root, list(fields), parts, cut, stemmed
 
     # Writing
 
@@ -91,8 +97,9 @@ class Index:
         """Replaces the documents of docs (path and the fields) and drops those of removed (path): one new segment."""
         old = Snapshot.latest(self.spark, self.root)
         new = old.next()
-        self._write(positional(docs, self.fields), new.version)
-        lengths = F.array(*(F.size(tokens(F.coalesce(F.col(f), F.lit("")))).cast("long") for f in self.fields))
+        self._write(positional(docs, self.fields, self.cut), new.version)
+        stems = self._write_stems(old, new.version)
+        lengths = F.array(*(F.size(self.cut(F.coalesce(F.col(f), F.lit("")))).cast("long") for f in self.fields))
         paths = docs.filter("path is not null").select("path", lengths.alias("lengths"))
         if removed is not None:
             paths = paths.unionByName(removed.filter("path is not null").select("path").join(paths.select("path"), "path", "left_anti").distinct().withColumn("lengths", F.lit(None).cast("array<long>")))
@@ -104,7 +111,7 @@ class Index:
             was = self._count(self._live(self._paths(old), old).join(touched, "path", "left_semi"))
             change = [c - w for c, w in zip(change, was, strict=True)]
         before = old.facts.get("counts", [0] * len(change))
-        new.facts = {"segments": [*old.facts.get("segments", []), new.version], "counts": [b + c for b, c in zip(before, change, strict=True)]}
+        new.facts = {"segments": [*old.facts.get("segments", []), new.version], "counts": [b + c for b, c in zip(before, change, strict=True)], "stems": stems}
         new.commit()
         return self
 
@@ -114,7 +121,7 @@ class Index:
         new = old.next()
         self._write(self.postings().select("path", "term", "tf", "places", "lengths"), new.version)
         self._live(self._paths(old), old).filter("lengths is not null").select("path", "lengths").write.mode("overwrite").parquet(f"{self.root}/paths/seg={new.version}")
-        new.facts = {"segments": [new.version], "counts": old.facts["counts"]}
+        new.facts = {"segments": [new.version], "counts": old.facts["counts"], "stems": self._write_stems(None, new.version)}
         new.commit()
         return self
 
@@ -124,6 +131,25 @@ class Index:
         out = postings.withColumn("part", part).hint("rebalance", "part").sortWithinPartitions("part", "term", "path")
         out.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{self.root}/postings/seg={segment}")
 
+    def _write_stems(self, old: Snapshot | None, segment: int) -> list[int]:
+        """Stems of the terms of a segment that no earlier one has; the segments with stems."""
+        if not self.stemmed:
+            return []
+        terms = self.spark.read.schema("term string").parquet(f"{self.root}/postings/seg={segment}").distinct()
+        before = old.facts.get("stems", []) if old and old.version else []
+        if before:
+            terms = terms.join(self._stems(before).select("term"), "term", "left_anti")
+        out = with_stems(terms).withColumn("part", F.pmod(F.crc32("stem"), F.lit(self.parts))).hint("rebalance", "part").sortWithinPartitions("part", "stem")
+        out.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{self.root}/stems/seg={segment}")
+        return [*before, segment]
+
+    def _stems(self, segments: list[int]) -> DataFrame:
+        return self.spark.read.schema("term string, stem string, seg long, part long").option("basePath", f"{self.root}/stems").parquet(*(f"{self.root}/stems/seg={s}" for s in segments))
+
+    def stems(self) -> DataFrame:
+        """term, stem of every term that some document has or had."""
+        return self._stems(Snapshot.latest(self.spark, self.root).facts["stems"]).select("term", "stem")
+
     def _count(self, paths: DataFrame) -> list[int]:
         """Documents, and tokens of each field."""
         r = paths.filter("lengths is not null").agg(F.count("*"), *(F.coalesce(F.sum(F.get("lengths", k)), F.lit(0)) for k in range(len(self.fields)))).first()
@@ -209,19 +235,30 @@ class Index:
             score = score - _idf(F.lit(n), F.col(f"df{i}")) * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(mean)))
         return found.filter(wanted).crossJoin(F.broadcast(figures)).select("path", score.alias("score"))  # figures is one row
 
-    def best(self, questions: DataFrame, k: int, allowed: DataFrame | None = None, fields: list[str] | None = None) -> DataFrame:
+    def best(self, questions: DataFrame, k: int, allowed: DataFrame | None = None, fields: list[str] | None = None, stemmed: bool = False) -> DataFrame:
         """query_id, path, score, rank: the k best documents with some term of each question, all questions in one job.
 
         questions: query_id, term (once each).  allowed: path; ranks count these documents only, while the corpus figures
         count all.  Terms meet postings in an equal join; scores are summed by question and path, and ranks are cut to k
         in each task before they are merged.
+
+        stemmed: terms with one stem are one term, in questions (where it counts once) and in documents.
         """
         use = [self.fields.index(f) for f in (fields or self.fields)]
-        n, lengths = self.counts()
+        v = Snapshot.latest(self.spark, self.root)
+        n, *lengths = v.facts["counts"]
         mean = sum(lengths[i] for i in use) / n if n else 0.0
-        part = F.pmod(F.crc32("term"), F.lit(self.parts))
-        terms = questions.select("term").distinct().withColumn("part", part)
-        p = self._live(self._segments(v := Snapshot.latest(self.spark, self.root), "postings", SCHEMA).join(terms, ["part", "term"], "left_semi"), v)
+        by = lambda c: F.pmod(F.crc32(c), F.lit(self.parts))
+        rows = self._segments(v, "postings", SCHEMA)
+        if stemmed:
+            asked = with_stems(questions.select("term").distinct())
+            questions = questions.join(asked, "term").select("query_id", F.col("stem").alias("term")).distinct()
+            # Each term has one stem, so a posting meets one row at most.
+            known = self._stems(v.facts["stems"]).join(asked.select("stem").distinct().withColumn("part", by("stem")), ["part", "stem"], "left_semi")
+            rows = rows.join(known.select("term", "stem").withColumn("part", by("term")), ["part", "term"]).drop("term").withColumnRenamed("stem", "term")
+        else:
+            rows = rows.join(questions.select("term").distinct().withColumn("part", by("term")), ["part", "term"], "left_semi")
+        p = self._live(rows, v)
         inside = lambda x: _any([(x >= i * FIELD) & (x < (i + 1) * FIELD) for i in use])
         tf = F.col("tf") if len(use) == len(self.fields) else F.size(F.filter("places", inside)).cast("long")
         length = F.aggregate(F.array(*(F.get("lengths", i) for i in use)), F.lit(0).cast("long"), lambda a, x: a + x)

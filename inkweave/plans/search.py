@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkweave.functions.words import words
 from inkweave.operators import inverted as I
 from inkweave.operators.chunkstore import Chunks
 from inkweave.operators import text as T
@@ -101,6 +102,35 @@ def search_questions_allowed(g):
     return g.index.best(questions(g), 10, g.file.filter("status = 'ok'"))
 
 
+def word_index(g) -> I.Index:
+    """The index of all texts by words of any alphabet without accents, with stems, built by the first query that asks for it."""
+    index = I.Index(g.spark, folder(g.spark, g.sf_dir, "words"), cut=words, stemmed=True)
+    return index if index.version() else index.upsert(g.file)
+
+
+FOLDED = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*')"
+
+
+@query(f"SELECT path, term, count(*) AS tf, min(p) AS first_place FROM (SELECT path, t[i] AS term, i - 1 AS p FROM (SELECT path, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT path, {FOLDED} AS t FROM file))) GROUP BY 1, 2")
+def word_postings(g):
+    """Postings of words of any alphabet, without case and accents."""
+    return word_index(g).postings().select("path", "term", "tf", F.get("places", 0).alias("first_place"))
+
+
+@query()
+def word_stems(g):
+    """Every distinct word of all texts with its stem (SQL has no stemmer here; tested against the full-text module's)."""
+    return word_index(g).stems()
+
+
+@query()
+def search_questions_stemmed(g):
+    """The ten best documents by stems for each question, all questions against all documents, in one job."""
+    first = F.array_distinct(F.slice(words(F.col("text")), 1, 8))
+    asked = g.file.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(first).alias("term"))
+    return word_index(g).best(asked, 10, stemmed=True)
+
+
 LOOKED_FOR = ("license", "version", "under", "permission")
 SNIPPET = r"""wd AS (SELECT path, text, regexp_extract_all(text, '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*') AS w, string_split_regex(text, '[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*') AS g FROM file),
     tk AS (SELECT path, i, len(w) AS n, strip_accents(lower(w[i])) AS t, i = 1 OR regexp_matches(g[i], '[.:][ \t\n\r]+$') AS s FROM (SELECT path, w, g, unnest(range(1, len(w) + 1)) AS i FROM wd)),
