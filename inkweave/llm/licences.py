@@ -1,10 +1,12 @@
 """Licence scans: identifier tags and notice phrases by Aho-Corasick, licence expressions by a shunting yard.
 
 A text is lower-cased (A-Z), cut into words and joined again with single spaces; one automaton finds every phrase of
-words in one pass.  Of phrases inside longer ones only the longest states its label, and one that ``not ... under`` comes
+words in one pass.  Where it finds a tag's words, a second automaton finds the tag itself in the lower-cased text, as it is
+written: with hyphens, spaces or underscores, and no letter, digit, hyphen or underscore before it.  Of phrases inside longer ones only the longest states its label, and one that ``not ... under`` comes
 before states none; base phrases always count.  Behind an identifier tag the rest of its own line is parsed as a licence
-expression: operands, ``with`` before ``and`` before ``or``, and parentheses.  Operands must be identifiers of known
-families, and those behind ``with`` exceptions; reading ends at anything else.
+expression: operands, ``with`` before ``and`` before ``or``, and parentheses.  Operands must be names of known families or
+names with a version, and those behind ``with`` exceptions or notes; reading ends at anything else.  A tag counts for the
+score and in n_tags if an operand was read behind it.
 
 Defined results: a null text is empty: no words, no places, empty labels, score 0.  A broken expression gives the labels
 of the operands read so far.  Rows are independent, so ties and repeated rows need no rule; other columns are ignored.
@@ -56,20 +58,24 @@ MORE_PHRASES = {
 CONDITIONS = {"nc": ("noncommercial", "non commercial"), "nd": ("noderivatives", "noderivs", "no derivatives", "no derivs"), "sa": ("sharealike", "share alike")}
 #: The words of an identifier tag.
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier[ \t]*[:=]?[ \t]*([^\r\n]*)", re.I)
+#: What may stand between them, and what must not stand before the tag.
+TAG_JOINTS, NO_TAG_AFTER = "- _", re.compile(r"[A-Za-z0-9_-]")
+#: The rest of the line behind a tag.
+REST = re.compile(r"[ \t]*[:=]?[ \t]*([^\r\n]*)")
 #: Words before a phrase that deny it.
 DENIED = re.compile(r" not (?:\w+ ){0,3}(?:under|by) (?:(?:the|a|an|any) )?$")
 #: How free the use is that a licence grants; by the start of its label, the first that fits.
 GRANTS = (("reserved", 0.0), ("proprietary", 0.0), ("cc-by-nc", 0.25), ("cc-by-nd", 0.25), ("cc-by-sa", 0.5), ("gpl", 0.5), ("agpl", 0.5), ("lgpl", 0.5), ("gfdl", 0.5), ("mpl", 0.5), ("epl", 0.5), ("eupl", 0.5), ("odbl", 0.5), ("", 1.0))
 #: The evidence of one tag, and of one label from a phrase.
 TAG_WEIGHT, PHRASE_WEIGHT = 0.9, 0.6
-# Families of licence identifiers, and of the exceptions behind WITH, in lower case.
+# Families of licence identifiers, and of the exceptions behind WITH, in lower case; other names need a version.
 IDENTIFIER = re.compile(
     r"(?:0bsd|afl-[123]\.\d|agpl-[13]\.0|apache-(?:1\.[01]|2\.0)|artistic-[12]\.0|bsd-[1-4]-clause(?:-[a-z-]+)?|bsl-1\.0|cc0-1\.0|cc-by(?:-nc)?(?:-nd|-sa)?-[1-4]\.\d|cddl-1\.[01]|ecl-[12]\.0|epl-[12]\.0|eupl-1\.[012]|"
     r"gfdl-1\.[123]|gpl-[123]\.0|isc|lgpl-(?:2\.[01]|3\.0)|lppl-1\.3[ac]|mit(?:-0|-[a-z]+)?|mpl-(?:1\.[01]|2\.0)|ms-(?:pl|rl)|ncsa|odbl-1\.0|ofl-1\.1|openssl|osl-[123]\.\d|postgresql|psf-2\.0|python-2\.0|ruby|unicode-3\.0|unlicense|"
-    r"upl-1\.0|vim|w3c|wtfpl|x11|zlib|zpl-2\.[01])(?:-only|-or-later|\+)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+    r"upl-1\.0|vim|w3c|wtfpl|x11|zlib|zpl-2\.[01])(?:-only|-or-later|\+)?|(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|"
+    r"[a-z][a-z0-9]*(?:-[a-z][a-z0-9]*)*-[0-9]+(?:\.[0-9]+)*(?:-[a-z][a-z0-9]*)*\+?"
 )
-EXCEPTION = re.compile(r"[a-z0-9.-]*-exception(?:-[a-z0-9.]+)?|llvm-exception")
+EXCEPTION = re.compile(r"[a-z0-9.-]+-(?:exception|note)(?:-[a-z0-9.]+)?")
 
 #: Bytes that are not of a word become spaces, A-Z become a-z.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -144,19 +150,43 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
-def scan(text: str, finder: ahocorasick.Automaton) -> tuple:
+#: A-Z become a-z, byte by byte, so places stay the same.
+LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def tag_automaton() -> ahocorasick.Automaton:
+    """Finds the tag in each of its spellings."""
+    a = ahocorasick.Automaton()
+    first, second, third = TAG.split()
+    for x, y in product(TAG_JOINTS, repeat=2):
+        tag = f"{first}{x}{second}{y}{third}"
+        a.add_word(tag, len(tag))
+    a.make_automaton()
+    return a
+
+
+def tagged(text: str, finder: ahocorasick.Automaton) -> list[str]:
+    """What stands on the line behind each tag of a text."""
+    out = []
+    for end, size in finder.iter(text.encode().translate(LOWER_BYTES).decode()):
+        start = end + 1 - size
+        if not start or not NO_TAG_AFTER.match(text[start - 1]):
+            out.append(REST.match(text, end + 1)[1])
+    return out
+
+
+def scan(text: str, finder: ahocorasick.Automaton, tag_finder: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, grants, n_tags."""
     found = text.encode().translate(WORD_BYTES).split()
     joined = (b" " + b" ".join(found) + b" ").decode()
-    places, base, labels, tags = [], set(), set(), 0
+    places, base, labels, maybe_tagged, tags = [], set(), set(), False, 0
     hits = []
     for end, (phrase, label, is_base) in finder.iter(joined):
         start = end - len(phrase) - 1
         if is_base:
             places.append(start)
             base.add(label)
-        if not label:
-            tags += 1
+        maybe_tagged |= not label
         hits.append((start, -end, label))
     hits.sort()
     reached = -1
@@ -168,11 +198,11 @@ def scan(text: str, finder: ahocorasick.Automaton) -> tuple:
     labels |= base
     grants = [grant(x) for x in labels]
     n_phrases = len(labels)
-    if tags:
-        for m in TAG_LINE.finditer(text):
-            more, g = evaluate(m[1])
-            labels |= more
-            grants += [] if g is None else [g]
+    for expression in tagged(text, tag_finder) if maybe_tagged else ():
+        more, g = evaluate(expression)
+        labels |= more
+        grants += [] if g is None else [g]
+        tags += g is not None
     starts = [joined.count(" ", 0, min(places)), joined.count(" ", 0, max(places))] if places else [None, None]
     score = 1 - (1 - TAG_WEIGHT) ** tags * (1 - PHRASE_WEIGHT) ** n_phrases
     return len(found), len(places), *starts, ",".join(sorted(base)), ",".join(sorted(labels)), score, min(grants, default=None), tags
@@ -185,9 +215,9 @@ def licences(docs: DataFrame) -> DataFrame:
     """The licence statements of each row: doc_id and the fields of ``scan``."""
 
     def run(batches):
-        finder = automaton()
+        finder, tag_finder = automaton(), tag_automaton()
         for b in batches:
-            rows = [scan(t.as_py() or "", finder) for t in b.column("text")]
+            rows = [scan(t.as_py() or "", finder, tag_finder) for t in b.column("text")]
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(_TYPES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, (_, t) in zip(columns, _TYPES, strict=True))], ["doc_id", *(n for n, _ in _TYPES)])
 

@@ -444,8 +444,8 @@ def test_op7_licences(docs, empty, spark):
 
 
 def test_op7_labels():
-    f = licences.automaton()
-    labels = lambda t: licences.scan(t, f)[5]
+    f, tags = licences.automaton(), licences.tag_automaton()
+    labels = lambda t: licences.scan(t, f, tags)[5]
     assert labels("# SPDX-License-Identifier: MIT OR Apache-2.0\ncode") == "apache-2.0,mit"
     assert labels("SPDX-License-Identifier: see the LICENSE file") == ""
     assert labels("SPDX-License-Identifier: MIT AND the rest") == "mit"
@@ -457,6 +457,35 @@ def test_op7_labels():
     assert labels("GNU Lesser General Public License version 3") == "gpl,gpl-3.0,lgpl"
 
 
+def test_op7_tags_in_every_spelling():
+    """Places of tags, labels and score against a look at every place of the text."""
+    f, finder = licences.automaton(), licences.tag_automaton()
+    for text, want, n in [
+        ("SPDX License Identifier: MIT", "mit", 1),
+        ("spdx_license-identifier = BlueOak-1.0.0", "blueoak-1.0.0", 1),
+        ("not-SPDX-License-Identifier: MIT", "", 0),
+        ("xspdx-license-identifier: MIT", "", 0),
+        ("SPDX-License\nIdentifier: MIT", "", 0),
+        ("SPDX-License-Identifier: see LICENSE", "", 0),
+        ("/*SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note */", "gpl-2.0", 1),
+        ("SPDX-License-Identifier: MPL-2.0-no-copyleft-exception\nSPDX-License-Identifier: Zlib", "mpl-2.0-no-copyleft-exception,zlib", 2),
+        ("é SPDX-LICENSE-IDENTIFIER:MIT", "mit", 1),
+    ]:
+        row = licences.scan(text, f, finder)
+        assert (row[5], row[8]) == (want, n), text
+        assert row[6] == pytest.approx(1 - (1 - licences.TAG_WEIGHT) ** n)
+    rng = np.random.default_rng(7)
+    bits = ["SPDX", "spdx", "License", "license", "Identifier", "identifier", "-", "_", " ", "-", " ", ":", " MIT", "\n", "é", "x"]
+    for _ in range(3000):
+        t = "".join(str(rng.choice(bits)) for _ in range(int(rng.integers(5, 25))))
+        t += rng.choice(["", " SPDX-License-Identifier: ISC", "-spdx_license identifier MIT"])
+        places = [i for i in range(len(t)) if re.fullmatch("spdx[-_ ]license[-_ ]identifier", t[i : i + 23].lower()) and not (i and (t[i - 1].isascii() and t[i - 1].isalnum() or t[i - 1] in "-_"))]
+        want = [t[i + 23 :].split("\n")[0] for i in places]
+        assert [x.strip(" \t") for x in licences.tagged(t, finder)] == [re.sub("^[:=]", "", w.strip(" \t")).strip(" \t") for w in want]
+    long = "word " * 200_000 + "SPDX-License-Identifier: MIT"
+    assert licences.scan(long, f, finder)[5] == "mit"
+
+
 def brute_expression(tokens):
     """(labels, grant) by recursive descent: or over and over with over operands and parentheses."""
 
