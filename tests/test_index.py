@@ -88,6 +88,39 @@ def test_score_equals_the_formula(index):
     assert {(r.query_id, r.path, r["rank"]) for r in only.collect()} == {(1, "f", 1), (1, "e", 2), (2, "f", 1)}
 
 
+def test_best_moves_no_pairs_of_questions_and_documents(spark, tmp_path):
+    """Copies tie and go by path, rows of one path are taken together, allowed ones alone get ranks; pairs are not grouped."""
+    import math
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"p{i:03}", None, " ".join(rng.choices(["common"] * 30 + [f"w{k}" for k in range(40)], k=rng.randint(0, 12)))) for i in range(150)]
+    rows += [(f"copy{i:02}", None, "common w1 w2") for i in range(40)] + [("p000", None, "w1 extra")]
+    index = I.Index(spark, f"{tmp_path}/i", FIELDS).upsert(frame(spark, rows))
+    asked = {q: rng.sample(["common", "absent", *(f"w{k}" for k in range(40))], 4) for q in range(25)} | {99: ["common"], 98: ["w1", "common"]}
+    n, mean = len(rows), sum(len(toks(r[2])) for r in rows) / len(rows)
+    docs = {}
+    for p, _, x in rows:
+        docs.setdefault(p, []).append(toks(x))
+    df = {w: sum(any(w in x for x in xs) for xs in docs.values()) for ws in asked.values() for w in ws}
+    even = {p for p in docs if p[-1] in "02468"}
+    for only in (None, even):
+        expected = set()
+        for q, ws in asked.items():
+            scores = []
+            for p, xs in docs.items():
+                tf = {w: sum(x.count(w) for x in xs) for w in ws}
+                size = {w: max(len(x) for x in xs if w in x) for w in ws if tf[w]}  # the longest of a path's rows with the term
+                s = sum(-max(math.log((n - df[w] + 0.5) / (df[w] + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * size[w] / mean)) for w, f in tf.items() if f)
+                if any(tf.values()) and (only is None or p in only):
+                    scores.append((round(s, 6) + 0.0, p))
+            expected |= {(q, p, s, i + 1) for i, (s, p) in enumerate(sorted(scores)[:7])}
+        questions = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "query_id long, term string")
+        best = index.best(questions, 7, None if only is None else spark.createDataFrame([(p,) for p in only], "path string"))
+        assert {(r.query_id, r.path, r.score, r["rank"]) for r in best.collect()} == expected
+        assert not re.search(r"hashpartitioning\(query_id#\w+, path#", best._jdf.queryExecution().executedPlan().toString())
+
+
 def test_a_search_reads_postings_of_its_terms_only(index):
     plan = index.search(every=[I.phrase("quick", "brown")])._jdf.queryExecution().executedPlan().toString()
     scans = [x for x in plan.split("\n") if "FileScan" in x]
