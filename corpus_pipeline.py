@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; a document of which nothing is left goes."""
-    out = lines.dedup_lines(docs).filter(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
+    out = lines.dedup_lines(docs, whole=True).filter(~((F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")))
     return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

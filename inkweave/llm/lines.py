@@ -11,6 +11,11 @@ is extended both ways along them for as long as lines are equal.  A run of equal
 lines is deleted from the later place.  A fingerprint whose first place has other surroundings finds a match too short to
 delete; other fingerprints of the run then have to find it.
 
+With ``whole`` (the query and the pipeline) nothing is left out.  A fingerprint that occurs twice leads to the runs it was
+picked in: of each line the shortest run of ``WORDS`` words or ``LINES`` lines that begins with it, and the shortest that
+ends with it.  Runs with one fingerprint and the same lines (64-bit hashes of hashes) are equal; each but those of the
+first document goes, and those that repeat in a document.  Every line of a longer equal run is in one of these.
+
 Extension compares 64-bit hashes of lines at aligned places only, so a wrong line needs one given hash, not any two equal
 ones among all lines.  A first place is found by a grouped minimum, never by pairs; texts move once, to lose their lines.
 
@@ -40,8 +45,9 @@ def _apart(d: DataFrame, keep: tuple[str, ...], **columns: Column) -> DataFrame:
     return d.select(*keep, row.alias("_one")).select(*keep, "_one.*")
 
 
-def _grams(d: DataFrame) -> DataFrame:
-    """_row, _id, h and c (hash and words of each line that is not blank), picks: the places and MD5 of the fingerprints."""
+def _grams(d: DataFrame, whole: bool = False) -> DataFrame:
+    """_row, _id, h and c (hash and words of each line that is not blank), picks: the places and MD5 of the fingerprints;
+    runs where the whole is asked for."""
     key = ("_row", "_id")
     d = _apart(d, key, l=F.filter(F.split("text", "\n"), lambda x: x.rlike(FULL))).filter(F.size("l") > 0)
     d = _apart(d, (*key, "l"), h=F.transform("l", lambda x: F.xxhash64(x)), c=F.transform("l", lambda x: F.regexp_count(x, F.lit(FULL + "+"))))
@@ -56,9 +62,21 @@ def _grams(d: DataFrame) -> DataFrame:
         return F.when(at("g", i + j)["m"] + j <= w, F.struct(at("g", i + j)["g"].alias("g"), (-(i + j)).alias("p")))
 
     # Distinct places, which are numbers, and not distinct structs, which would be compared with each other one by one.
-    places = F.array_distinct(F.filter(F.transform("w", lambda w, i: -F.array_min(F.array(*(inside(w, i, j) for j in range(LINES))))["p"]), lambda p: p.isNotNull()))
-    d = _apart(d, (*key, "h", "c", "g"), places=places)
-    return d.select(*key, "h", "c", F.transform("places", lambda p: F.struct(at("g", p)["g"].alias("g"), p.alias("p"))).alias("picks"))
+    d = _apart(d, (*key, "h", "c", "g", "w"), at=F.transform("w", lambda w, i: -F.array_min(F.array(*(inside(w, i, j) for j in range(LINES))))["p"]))
+    d = _apart(d, (*key, "h", "c", "g", "w", "at"), places=F.array_distinct(F.filter("at", lambda p: p.isNotNull())))
+    picks = F.transform("places", lambda p: F.struct(at("g", p)["g"].alias("g"), p.alias("p")))
+    return d.select(*key, "h", "c", picks.alias("picks"), *([_runs().alias("runs")] if whole else []))
+
+
+def _runs() -> Column:
+    """g, x, p, n: the fingerprint, hash, place and number of lines of each run that is shortest from its first or to its last line."""
+    at = lambda a, i: F.get(F.col(a), i)
+    # The shortest run to line j has so many lines.
+    back = lambda j: F.when(at("c", j) >= WORDS, 1).when(at("c", j) + at("c", j - 1) >= WORDS, 2).otherwise(LINES)
+    here = lambda w, i, n: F.when((i + n <= F.size("h")) & ((w == n) | (back(i + n - 1) == n)), n)
+    run = lambda i, n: F.struct(at("g", at("at", i))["g"].alias("g"), F.xxhash64(F.slice("h", i + 1, n)).alias("x"), i.alias("p"), n.alias("n"))
+    sizes = F.flatten(F.transform("w", lambda w, i: F.transform(F.filter(F.array(*(here(w, i, n) for n in range(1, LINES + 1))), lambda n: n.isNotNull()), lambda n: run(i, n))))
+    return F.filter(sizes, lambda r: r["g"].isNotNull())
 
 
 def _matched(aligned: DataFrame) -> DataFrame:
@@ -76,12 +94,14 @@ def _matched(aligned: DataFrame) -> DataFrame:
     return d.select("_row", F.flatten(F.transform(enough, lambda r: F.sequence(r["s"], r["s"] + r["n"] - 1))).alias("places")).filter(F.size("places") > 0)
 
 
-def repeated_lines(d: DataFrame) -> DataFrame:
+def repeated_lines(d: DataFrame, whole: bool = False) -> DataFrame:
     """_row, gone: the places (from 0, among the lines that are not blank) of the lines to delete, for keyed rows that have some."""
-    grams = settle(_grams(d))
+    grams = settle(_grams(d, whole))
     picked = grams.select("_row", "_id", F.explode("picks").alias("e")).select("_row", "_id", F.unhex("e.g").alias("g"), "e.p")
     # Grouped figures are written before they are joined, so that a join may split the places of a common fingerprint.
     firsts = settle(picked.groupBy("g").agg(F.min(F.struct("_id", "_row", "p")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("g", "first"))
+    if whole:
+        return _equal(grams, firsts).groupBy("_row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("gone"))
     # Places of one fingerprint in one document; none holds more than the document's lines.
     own = Window.partitionBy("_row", "g").orderBy("p")
     placed = picked.join(firsts, "g").withColumn("last", F.lag("p").over(own)).filter("last is not null or first._id < _id")
@@ -93,10 +113,23 @@ def repeated_lines(d: DataFrame) -> DataFrame:
     return _matched(aligned).groupBy("_row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """Every row and column of docs, its text without the repeated lines; added: n_lines, n_removed."""
+def _equal(grams: DataFrame, firsts: DataFrame) -> DataFrame:
+    """_row, places of the lines of every run that also stands in an earlier document, or before in its own."""
+    runs = grams.select("_row", "_id", F.explode("runs").alias("r")).select("_row", "_id", F.unhex("r.g").alias("g"), "r.x", "r.p", "r.n")
+    runs = settle(runs.join(firsts.select("g"), "g", "left_semi"))
+    first = settle(runs.groupBy("g", "x").agg(F.min("_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("g", "x", "first"))
+    before = F.row_number().over(Window.partitionBy("_row", "g", "x").orderBy("p")) > 1
+    gone = runs.join(first, ["g", "x"]).withColumn("before", before).filter("before or first < _id")
+    return gone.select("_row", F.expr("sequence(p, p + n - 1)").alias("places"))
+
+
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """Every row and column of docs, its text without the repeated lines; added: n_lines, n_removed.
+
+    whole: all runs that stand earlier, not only those that a fingerprint's first place shows.
+    """
     d = keyed(docs, keep=True)
-    out = d.join(repeated_lines(d), "_row", "left")
+    out = d.join(repeated_lines(d, whole), "_row", "left")
     kept = ("_all", "text", "gone")
     out = _apart(out, kept, ls=F.split("text", "\n"))
     out = _apart(out, (*kept, "ls"), f=F.when(F.col("gone").isNotNull(), F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(FULL), i)), lambda i: i.isNotNull())))
@@ -110,7 +143,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of each row."""
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return dedup_lines(docs.select("doc_id", "text"), whole=True).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE_SQL = r"""

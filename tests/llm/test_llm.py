@@ -141,6 +141,29 @@ def test_op2_matches_are_extended_both_ways(spark):
     assert (got[2], got[4], got[5]) == ("p\nq", "m\nn", rows[4][1]) and got[1] == rows[0][1] and got[3] == rows[2][1]
 
 
+def test_op2_whole_leaves_out_no_run(spark):
+    """Against all runs of all rows, not the first place of each fingerprint: equal runs anywhere earlier go, whole."""
+    rng = np.random.default_rng(16)
+    pool = [" ".join(f"w{int(x)}" for x in rng.integers(0, 999, int(n))) for n in rng.integers(1, 40, 12)] + ["", " ", "a", "long " * 60, "b c"]
+    rows = [(None if i % 17 == 5 else i // 2, "\n".join(pool[int(k)] for k in rng.integers(0, len(pool), int(rng.integers(0, 14))))) for i in range(90)] + [(500, None)]
+    full = [[(k, x) for k, x in enumerate((t or "").split("\n")) if ws(x)] for _, t in rows]
+    ids = [math.inf if i is None else i for i, _ in rows]
+    places = defaultdict(set)
+    for r, f in enumerate(full):
+        for p in range(len(f)):
+            for q in range(p + 1, len(f) + 1):
+                if q - p >= 3 or sum(len(ws(x)) for _, x in f[p:q]) >= 50:
+                    places[tuple(x for _, x in f[p:q])].add((ids[r], r, p))
+    gone = defaultdict(set)
+    for run, at in places.items():
+        for i, r, p in at:
+            if min(at)[0] < i or any(s == r and q < p for _, s, q in at):
+                gone[r] |= {full[r][k][0] for k in range(p, p + len(run))}
+    want = Counter((i, "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in gone[r])) for r, (i, t) in enumerate(rows))
+    got = Counter((r.doc_id, r.text or "") for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), whole=True).collect())
+    assert got == want and want != brute_winnowed(rows)
+
+
 def test_op2_many_null_ids_lose_nothing(spark):
     """Rows without an id: one is a copy of an earlier document, the others are unlike anything."""
     rows = [(1, C), (None, C), *((None, f"own {i}\nlines {i}\nof row {i}\nnumber {i}") for i in range(3000))]
