@@ -48,3 +48,34 @@ def test_hashed_vectors_are_of_unit_length(spark):
     d = R.hashed_vectors(spark.createDataFrame([("x", "a b a"), ("y", "")], "path string, text string"), 16)
     got = {r.path: sum(x * x for x in r.vector) for r in d.collect()}
     assert abs(got["x"] - 1) < 1e-9 and got["y"] == 0
+
+
+def test_knn_over_many_chunks_with_ties(spark):
+    """Against all pairs: copies tie and go by id, zero vectors are no neighbours; packed queries are read, not made anew."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 3, (9000, 4)).astype(float)
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(2)
+    near = T.knn(d, d.filter("vec_id % 1000 = 1"), 25)
+    assert "inkweave-store" in near._jdf.queryExecution().executedPlan().toString()
+    length, want = np.sqrt((v * v).sum(1)), set()
+    for q in range(1, 9000, 1000):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.round(1 - v @ v[q] / (length * length[q]), 6) + 0.0
+        want |= {(q, int(i), k + 1) for k, i in enumerate([i for i in np.lexsort((np.arange(9000), x)) if not np.isnan(x[i])][:25])}
+    assert {(r.query_id, r.vec_id, r["rank"]) for r in near.collect()} == want
+
+
+def test_hashed_vectors_equal_counts_by_md5(spark):
+    from hashlib import md5
+
+    texts = ["to be or not to be", "", None, "a " * 500 + "b"]
+    got = R.hashed_vectors(spark.createDataFrame(list(enumerate(texts)), "path long, text string"))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    for r in got.collect():
+        n = [0] * 64
+        for w in (texts[r.path] or "").split():
+            n[int(md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+        size = max(sum(x * x for x in n) ** 0.5, 1e-12)
+        assert list(r.vector) == [x / size for x in n]
