@@ -173,3 +173,13 @@ def test_snapshot_replaces_touched_buckets_only(spark, tmp_path):
     assert now.version == 2 and sorted(set(now.tables["t"]["written"].values())) == [1, 2] and list(now.tables["t"]["written"].values()).count(2) == len(hit)
     assert {(r.path, r.n) for r in now.read("t").collect()} == {(f"p{i}", i if i != 4 else -4) for i in range(200) if i != 3}
     assert first.read("t").count() == 200  # a reader of the older version still has it
+
+
+def test_postings_are_packed_by_term_and_block(spark, tmp_path):
+    """What is shuffled and sorted has a row for each term and block of documents instead of one for each posting."""
+    rows = [(f"p{i:02}é", "t", f"common words é {i} common") for i in range(60)]
+    index = I.Index(spark, f"{tmp_path}/i", FIELDS).upsert(frame(spark, rows))
+    kept = spark.read.parquet(f"{index.root}/postings").filter("term = 'common'")
+    assert kept.count() <= 3 and index.postings(["common"]).count() == 60  # three batches
+    assert got(index) == want(rows)
+    assert index.compact().postings().count() == 60 * 4 and got(index) == want(rows)
