@@ -101,3 +101,15 @@ def test_mask_whole_tokens(spark):
 def test_luhn_and_paths(spark):
     d = spark.createDataFrame([("4111111111111111", "a/b/../c.md"), ("4111111111111112", "../x/./y.md")], "n string, p string")
     assert [tuple(r) for r in d.select(scalars.luhn_valid(F.col("n")), scalars.normal_path(F.col("p"))).collect()] == [(True, "a/c.md"), (False, "../x/y.md")]
+
+
+def test_a_query_makes_the_kinds_of_edges_that_it_names(spark, tmp_path):
+    from inkweave.plans import catalogue
+    from inkweave.sources import store
+
+    (tmp_path / "x").symlink_to("/root/testdata/sf0.001")
+    made = lambda: {name for _, source, name in store._paths if source == f"{tmp_path}/x"}
+    for query, kinds in (("count_active", set()), ("project_stubs", set()), ("project_decisions", {"ABOUT_DECISION"}), ("project_state", {"ABOUT_DECISION", "BLOCKS"}), ("audit_orphan_docs", {"LINKS_TO", "RELATED_TO", "BLOCKS"})):
+        catalogue.QUERIES[query](spark, f"{tmp_path}/x")
+        assert made() - {"project"} == {"doc"} | {f"edge_{k}" for k in kinds}
+        store.forget(f"{tmp_path}/x")
