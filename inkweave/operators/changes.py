@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +28,18 @@ def rename_docs(doc: DataFrame, edge: DataFrame, broken: DataFrame, renames: Dat
     r = renames.select("path", "new_path")
     new = lambda c: F.coalesce("new_path", c)
     doc2 = doc.join(r, "path", "left").withColumn("path", new("path")).drop("new_path")
-    out = edge
-    for side in ("source", "target"):
-        by = r.select(F.col("path").alias(f"{side}_id"), "new_path", F.lit("doc").alias(f"{side}_type"))
-        out = out.join(by, [f"{side}_type", f"{side}_id"], "left").withColumn(f"{side}_id", new(f"{side}_id")).drop("new_path")
+    parts = []
+    # Edges move only for the ends that are documents.
+    for ends in product((True, False), repeat=2):
+        part = edge
+        for side, is_doc in zip(("source", "target"), ends, strict=True):
+            of_doc = F.col(f"{side}_type").eqNullSafe("doc")
+            part = part.filter(of_doc if is_doc else ~of_doc)
+            if is_doc:
+                part = part.join(r.withColumnRenamed("path", f"{side}_id"), f"{side}_id", "left").withColumn(f"{side}_id", new(f"{side}_id")).drop("new_path")
+        parts.append(part.select(*edge.columns))
     broken2 = broken.join(r.withColumnRenamed("path", "source_doc"), "source_doc", "left").withColumn("source_doc", new("source_doc")).drop("new_path")
-    return doc2, out.select(*edge.columns), broken2
+    return doc2, reduce(DataFrame.unionByName, parts), broken2
 
 
 def delete_docs(doc: DataFrame, edge: DataFrame, broken: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

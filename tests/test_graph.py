@@ -113,3 +113,15 @@ def test_a_query_makes_the_kinds_of_edges_that_it_names(spark, tmp_path):
         catalogue.QUERIES[query](spark, f"{tmp_path}/x")
         assert made() - {"project"} == {"doc"} | {f"edge_{k}" for k in kinds}
         store.forget(f"{tmp_path}/x")
+
+
+def test_renames_move_edges_for_their_ends_that_are_documents(spark):
+    """Every mix of kinds of ends, nulls among them; the kind of an end is no key of a join."""
+    kinds = ("doc", "tag", None)
+    rows = [(s, a, "X", t, b, "") for s in kinds for t in kinds for a in ("a", "q", None) for b in ("a", "b", "q")]
+    doc, broken = spark.createDataFrame([("a",)], "path string"), spark.createDataFrame([("b", "x")], "source_doc string, link_target string")
+    new = {"a": "n/a", "b": "n/b"}
+    out = changes.rename_docs(doc, spark.createDataFrame(rows, EDGES), broken, spark.createDataFrame(list(new.items()), "path string, new_path string"))[1]
+    end = lambda kind, x: new.get(x, x) if kind == "doc" else x
+    assert Counter(tuple(r) for r in out.collect()) == Counter((s, end(s, a), x, t, end(t, b), y) for s, a, x, t, b, y in rows)
+    assert "Join [source_type" not in out._jdf.queryExecution().executedPlan().toString()
