@@ -33,13 +33,29 @@ from inkweave.sources.snapshot import Snapshot
 PEOPLE, HUBS, LOG = "memory/people/", "memory/projects/", "decisions-log.md"
 
 
+def _is_person() -> Column:
+    return F.col("path").startswith(PEOPLE)
+
+
+def _is_log() -> Column:
+    return F.col("path").rlike(rf"(^|/){LOG}$")
+
+
+def entries(log: DataFrame) -> DataFrame:
+    """n, path, there (else gone) of each path that an entry of a log (n, op, path, old_path) names; an R has both paths."""
+    renamed = F.when(F.col("op") == "R", F.col("old_path"))
+    pairs = F.stack(F.lit(2), F.col("path"), F.col("op") != "D", renamed, F.lit(False)).alias("path", "there")
+    return log.filter("op in ('A', 'M', 'D', 'R')").select("n", pairs).filter("path is not null")
+
+
 def fold(log: DataFrame) -> DataFrame:
-    """path, op (M: there, D: gone) of each path that a log (n, op, path, old_path) names, after all of it; an R has both paths."""
-    e = log.filter("op in ('A', 'M', 'D', 'R')").select("n", F.explode(F.filter(F.array(
-        F.when(F.col("op") == "R", F.struct(F.lit(0).alias("k"), F.lit("D").alias("op"), F.col("old_path").alias("path"))),
-        F.struct(F.lit(1).alias("k"), F.when(F.col("op") == "D", "D").otherwise("M").alias("op"), F.col("path").alias("path")),
-    ), lambda x: x.isNotNull() & x["path"].isNotNull())).alias("e"))
-    return e.groupBy("e.path").agg(F.max(F.struct("n", "e.k", "e.op")).alias("m")).select("path", F.col("m.op").alias("op"))
+    """path, op (M: there, D: gone) of each path that a log names, after all of it.
+
+    Two maxima instead of the greatest entry: numbers are aggregated by hash, where entries would be sorted first.
+    """
+    n, there = F.col("n"), F.col("there")
+    last = entries(log).groupBy("path").agg(F.bool_or(there).alias("any"), F.max(F.when(there, n)).alias("m"), F.max(F.when(~there, n)).alias("d"))
+    return last.select("path", F.when(F.col("any") & (F.col("d").isNull() | F.coalesce(F.col("m") >= F.col("d"), F.lit(False))), "M").otherwise("D").alias("op"))
 
 
 class Graph:
@@ -92,16 +108,15 @@ def projects(doc: DataFrame, own_edge: DataFrame) -> DataFrame:
 
 
 def _parsed_tables(parsed: DataFrame, entities: dict[str, str]) -> dict[str, DataFrame]:
-    person = F.col("path").startswith(PEOPLE)
     slug = F.regexp_extract("path", r"([^/]*)\.md$", 1)
-    log = parsed.filter(F.col("path").rlike(rf"(^|/){LOG}$"))
+    log = parsed.filter(_is_log())
     entity = entity_of(F.col("path"), entities)
     return {
         "doc": parsed.select("path", "title", "status", "doc_type", "word_count", F.size("links").alias("link_count"), "parse_status", "parse_notes"),
         "body": parsed.select("path", "body"),
         "own_edge": markdown.own_edges(parsed, entity).withColumn("path", F.col("source_id")),
         "link": markdown.inner_links(parsed),
-        "person": parsed.filter(person).select("path", slug.alias("slug"), "display_name", "role", "aliases"),
+        "person": parsed.filter(_is_person()).select("path", slug.alias("slug"), "display_name", "role", "aliases"),
         "decision": markdown.decisions(log).withColumn("path", F.col("log_doc")),
         "about": markdown.decision_targets(log),
     }
@@ -137,15 +152,18 @@ def apply_log(spark: SparkSession, root: str, log: DataFrame, corpus: DataFrame,
         "other": there.filter(~updated(F.col("path"))),
         "quarantine": texts.filter("text is null").select("path", F.lit("no text").alias("error")),
     }
-    people = touched.filter(F.col("path").startswith(PEOPLE)).limit(1).count() > 0
+    # Most tables are about every path; a table that can have rows of few paths is written only where these lie.
+    some = {"person": _is_person(), "decision": _is_log(), "about": _is_log(), "other": ~updated(F.col("path"))}
+    hit = new.touched("path", touched, {name: some.get(name, F.lit(True)) for name in (*rows, "mention")}, buckets)
+    people = bool(hit["person"])
     # The tables do not depend on one another; their small jobs run side by side.
     with ThreadPoolExecutor(len(rows)) as pool:
-        list(pool.map(lambda name: new.replace(name, "path", touched, rows[name], buckets), rows))
+        list(pool.map(lambda name: new.replace(name, "path", touched, rows[name], buckets, hit[name]), rows))
     # A changed person may be named in any file; otherwise only the changed files can have other mentions.
     body = new.read("body")
     found = markdown.mentions(body if people else parsed, new.read("person").select("slug", "display_name"))
     mention = body.select("path").unionByName(touched.select("path")) if people else touched
-    new.replace("mention", "path", mention, found, buckets)
+    new.replace("mention", "path", mention, found, buckets, None if people else hit["mention"])
     derived = projects(new.read("doc"), new.read("own_edge"))
     gone = new.read("project").select("slug").unionByName(derived.select("slug")) if "project" in new.tables else derived
     new.replace("project", "slug", gone, derived, buckets)

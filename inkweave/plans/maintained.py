@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from inkweave.operators import maintain
 from inkweave.plans.catalogue import query
-from inkweave.sources.store import folder
+from inkweave.sources.store import folder, written
 
 #: Every change as a name-status entry; renames move a file into another folder.
 LOG = """SELECT n, op, CASE WHEN op = 'R' THEN concat('new/', path) ELSE path END AS path, CASE WHEN op = 'R' THEN path END AS old_path FROM change_log"""
@@ -20,12 +20,13 @@ def _kept(g) -> maintain.Graph:
     if graph.version.facts.get("applied") == last:
         return graph
     log = g.change_log.select("n", "op", F.when(F.col("op") == "R", F.concat(F.lit("new/"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("op") == "R", F.col("path")).alias("old_path"))
-    path = maintain.fold(log).select("path")
+    path = maintain.entries(log).select("path").distinct()
     u = F.regexp_extract("path", r"(\d+)\.md$", 1).cast("int")
     link = lambda by, to: F.concat(F.lit(f"[{to}]("), ((u + by) % 97).cast("string"), F.lit(".md) "))
     text = F.concat(F.lit("---\ntags: [project/p"), (u % 7).cast("string"), F.when(u % 5 == 0, ", type/hub").otherwise(""), F.when(u % 3 == 0, ", status/active").otherwise(", status/done"), F.lit("]\n---\n# User "), u.cast("string"), F.lit("\n"), link(1, "next"), link(5, "far"))
+    corpus = written(g.spark, path.withColumn("text", text))
     for share in PARTS:
-        graph = maintain.apply_log(g.spark, root, log.filter(F.col("n") <= F.lit(int(last * share))), path.withColumn("text", text), {"new/": "moved", "u/": "users"}, buckets=8)
+        graph = maintain.apply_log(g.spark, root, log.filter(F.col("n") <= F.lit(int(last * share))), corpus, {"new/": "moved", "u/": "users"}, buckets=8)
     return graph
 
 

@@ -122,3 +122,30 @@ def test_a_small_change_writes_few_buckets(spark, tmp_path):
     written = graph.version.tables["body"]["written"]
     assert sum(v == 2 for v in written.values()) <= 2 and len(written) > 50
     assert {(r.source_doc, r.link_target) for r in graph.broken_link.collect()} == {("d/6.md", "7.md"), ("d/399.md", "400.md")}
+
+
+def test_a_fold_keeps_the_greatest_entry_without_sorting_the_log(spark):
+    import random
+
+    random.seed(3)
+    rows = [(random.choice([None, *range(40)]), random.choice("AMDRT"), f"p{random.randrange(60)}", random.choice([None, f"p{random.randrange(60)}"])) for _ in range(400)]
+    want = {}
+    for n, op, path, before in rows:
+        if op == "T":
+            continue
+        for k, kind, at in ((0, "D", before if op == "R" else None), (1, "D" if op == "D" else "M", path)):
+            if at is not None:
+                want[at] = max(want.get(at, (-2, 0, "")), (-1 if n is None else n, k, kind))
+    got = maintain.fold(spark.createDataFrame(rows, "n long, op string, path string, old_path string"))
+    assert {r.path: r.op for r in got.collect()} == {path: kind for path, (_, _, kind) in want.items()}
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_without_a_touched_file_are_not_written(spark, tmp_path):
+    root = tmp_path / "g"
+    log = spark.createDataFrame([(i, "A", f"d/{i}.md", None) for i in range(9)], "n long, op string, path string, old_path string")
+    corpus = log.select("path", F.lit(page("project/alpha")).alias("text"))
+    graph = maintain.apply_log(spark, str(root), log, corpus, buckets=4)
+    written = {p.parent.name for p in root.glob("*/v=1")}
+    assert {"doc", "own_edge", "project"} <= written and not written & {"person", "decision", "about", "other"}
+    assert graph.person.count() == 0 and graph.other.count() == 0 and graph.doc.count() == 9
