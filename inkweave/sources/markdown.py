@@ -61,6 +61,9 @@ def _front_matter(blocks: pd.Series) -> pd.DataFrame:
 
     listed = lambda found: [str(t) for t in found if t is not None] if isinstance(found, list) else [] if found is None else [str(found)]
     plain = lambda v: None if v is None or v == "" else str(v)
+
+    # Files of one kind begin alike: each block of a batch is read once.
+    number, blocks = pd.factorize(blocks.fillna(""))
     out = []
     for block in blocks:
         data, note = {}, None
@@ -71,7 +74,7 @@ def _front_matter(blocks: pd.Series) -> pd.DataFrame:
                 note = str(e)[:200]
         data = data if isinstance(data, dict) else {}
         out.append((listed(data.get("tags")), note, plain(data.get("display_name")) or plain(data.get("name")), plain(data.get("role")), listed(data.get("aliases"))))
-    return pd.DataFrame(out, columns=["tags", "note", "name", "role", "aliases"])
+    return pd.DataFrame(out, columns=["tags", "note", "name", "role", "aliases"]).iloc[number].reset_index(drop=True)
 
 
 def parse(corpus: DataFrame) -> DataFrame:
@@ -123,20 +126,23 @@ def links(parsed: DataFrame, files: DataFrame) -> DataFrame:
     return inner_links(parsed).join(there, "resolved", "left").select("path", "link_text", "link_target", "resolved", F.col("there").isNull().alias("broken"))
 
 
-def _edge(kind: str, to: str, target: Column, sub: str = "") -> tuple[Column, ...]:
+def _edge(kind: Column | str, to: Column | str, target: Column, sub: Column | str = "") -> tuple[Column, ...]:
     return F.lit("doc").alias("source_type"), F.col("path").alias("source_id"), F.lit(kind).alias("edge_type"), F.lit(to).alias("target_type"), target.alias("target_id"), F.lit(sub).alias("edge_subtype")
 
 
 def own_edges(parsed: DataFrame, entity: Column | None = None) -> DataFrame:
     """The edges that follow from a file alone, each once: tags, projects, related blocks and, with ``entity``, its entity."""
-    out = parsed.select("path", F.explode("tags").alias("x")).select(*_edge("TAGGED", "tag", F.col("x")))
-    out = out.unionByName(parsed.select("path", F.explode("projects").alias("x")).select(*_edge("MEMBER_OF_PROJECT", "project", F.col("x"))))
+    one = lambda kind, to, x: F.struct(F.lit(kind).alias("kind"), F.lit(to).alias("to"), x.alias("x"))
+    said = [F.transform("tags", lambda x: one("TAGGED", "tag", x)), F.transform("projects", lambda x: one("MEMBER_OF_PROJECT", "project", x))]
     if entity is not None:
-        out = out.unionByName(parsed.filter(entity.isNotNull()).select(*_edge("MEMBER_OF_ENTITY", "entity", entity)))
+        said.append(F.when(entity.isNotNull(), F.array(one("MEMBER_OF_ENTITY", "entity", entity))).otherwise(F.array()))
+    # Each file is read once for all that it says.
+    said = [F.coalesce(x, F.array()) for x in said]
+    out = parsed.select("path", F.explode(F.concat(*said)).alias("e")).select(*_edge(F.col("e.kind"), F.col("e.to"), F.col("e.x")))
     named = parsed.select("path", F.explode("related").alias("r")).select("path", F.col("r.label").alias("label"), F.explode(F.regexp_extract_all(F.col("r.line"), F.lit(LINK), F.lit(2))).alias("t")).select("path", "label", resolve(F.col("path"), F.col("t")).alias("x")).filter("x is not null")
-    for label, (kind, sub) in RELATED_EDGES.items():
-        out = out.unionByName(named.filter(F.col("label") == label).select(*_edge(kind, "doc", F.col("x"), sub)))
-    return out.distinct()
+    means = F.create_map(*(x for label, (kind, sub) in RELATED_EDGES.items() for x in (F.lit(label), F.struct(F.lit(kind).alias("kind"), F.lit(sub).alias("sub")))))
+    named = named.withColumn("m", F.try_element_at(means, F.col("label"))).filter("m is not null")
+    return out.unionByName(named.select(*_edge(F.col("m.kind"), F.lit("doc"), F.col("x"), F.col("m.sub")))).distinct()
 
 
 def edges(parsed: DataFrame, files: DataFrame) -> DataFrame:

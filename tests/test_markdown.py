@@ -1,5 +1,7 @@
 """A small corpus from files to edges."""
 
+from pyspark.sql import functions as F
+
 from inkweave.sources import markdown
 
 FILES = {
@@ -58,3 +60,19 @@ def test_mentions_equal_every_pattern_over_every_body(spark):
     people = spark.createDataFrame(list(names.items()), "slug string, display_name string")
     assert {(r.path, r.slug): r.context for r in markdown.mentions(parsed, people).collect()} == want
     assert markdown.mentions(parsed, people.limit(0)).count() == 0
+
+
+def test_equal_front_matter_is_read_once_and_edges_read_a_file_twice(spark, monkeypatch):
+    import pandas as pd
+    import yaml
+
+    calls, real = [], yaml.safe_load
+    monkeypatch.setattr(yaml, "safe_load", lambda text: calls.append(text) or real(text))
+    blocks = ["tags: [a/b]", "", None, "bad: [", "tags: c"]
+    got = markdown._front_matter(pd.Series(blocks * 50))
+    assert sorted(calls) == ["bad: [", "tags: [a/b]", "tags: c"]
+    assert [list(t) for t in got["tags"]] == [["a/b"], [], [], [], ["c"]] * 50 and got["note"].notna().tolist() == [False, False, False, True, False] * 50
+    corpus = spark.createDataFrame([("d/a.md", "---\ntags: [project/p, type/hub, type/hub]\n---\n> **Siblings:** [b](b.md) [c](c.md)\n> **Upstream:** [b](b.md)\n")], "path string, text string")
+    edges = markdown.own_edges(markdown.parse(corpus), F.lit("e"))
+    assert {(r.edge_type, r.target_type, r.target_id, r.edge_subtype) for r in edges.collect()} == {("TAGGED", "tag", "project/p", ""), ("TAGGED", "tag", "type/hub", ""), ("MEMBER_OF_PROJECT", "project", "p", ""), ("MEMBER_OF_ENTITY", "entity", "e", ""), ("RELATED_TO", "doc", "d/b.md", "sibling"), ("RELATED_TO", "doc", "d/c.md", "sibling"), ("BLOCKS", "doc", "d/b.md", "upstream")}
+    assert edges.count() == 7 and edges._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2
